@@ -22,7 +22,15 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 300_000
+CACHE = 400_000
+SIGNS = "#*$%&|<>.,!?;:"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
 
 
 class _Words(dict):
@@ -30,16 +38,29 @@ class _Words(dict):
     space, this vocabulary's pre-tokenizer always cuts, so texts can be encoded by space-separated parts;
     a part that begins with white space has no entry and sends its text to the tokenizer as a whole."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode, letters) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.letters, self.tails = encode, letters, {}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
             raise LookupError
         if len(self) >= CACHE:
             self.clear()
-        ids = self[word] = self.encode(" " + word)
+        head = word.rstrip(SIGNS)
+        if head.isalpha() and max(head) < "\u0250":  # letters, then signs: two pre-tokens
+            ids = self[head] + self.tail(word[len(head) :]) if len(head) < len(word) else self.letters(" " + word)
+        else:
+            ids = self.encode(" " + word)
+        self[word] = ids
+        return ids
+
+    def tail(self, signs: str) -> bytes:
+        ids = self.tails.get(signs)
+        if ids is None:
+            ids = self.encode(signs)
+            if len(self.tails) < CACHE:
+                self.tails[signs] = ids
         return ids
 
 
@@ -57,7 +78,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.array = np.array
-        self.words = _Words(self.whole)
+        self.model, self.bytes = self.tokenizer.model, _byte_letters()
+        self.words = _Words(self.whole, self.letters)
+
+    def letters(self, token: str) -> bytes:
+        """Ids of one pre-token, straight from the model."""
+        return self.array([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.bytes))], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
