@@ -12,7 +12,9 @@ are packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +51,7 @@ class _Words(dict):
             self.clear()
         head = word.rstrip(SIGNS)
         if head.isalpha() and max(head) < "\u0250":  # letters, then signs: two pre-tokens
-            ids = self[head] + self.tail(word[len(head) :]) if len(head) < len(word) else self.letters(" " + word)
+            ids = self[head] + self.tail(word[len(head) :]) if len(head) < len(word) else self.letters(word)
         else:
             ids = self.encode(" " + word)
         self[word] = ids
@@ -64,29 +66,34 @@ class _Words(dict):
         return ids
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Text to the bytes of its uint32 ids, equal to the tokenizer's on the whole text."""
 
     def __init__(self, path: str) -> None:
         import os
 
-        import numpy as np
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.array = np.array
-        self.model, self.bytes = self.tokenizer.model, _byte_letters()
+        self.tokenize, self.bytes = self.tokenizer.model.tokenize, _byte_letters()
         self.words = _Words(self.whole, self.letters)
 
-    def letters(self, token: str) -> bytes:
-        """Ids of one pre-token, straight from the model."""
-        return self.array([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.bytes))], "<u4").tobytes()
+    def letters(self, word: str) -> bytes:
+        """Ids of ' ' + a word of letters, straight from the model."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return pack_ids([t.id for t in self.tokenize("\u0120" + shown)])
 
     def whole(self, text: str) -> bytes:
-        return self.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         parts = text.split(" ")
