@@ -73,12 +73,12 @@ def groups(offsets: np.ndarray, most: int = 1 << 22):
         lo = min(hi, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte spans of all words of data[offsets[0]:offsets[-1]], relative to offsets[0];
     first[i] is the index of row i's first word, with one more entry for the total."""
     base = offsets[0]
     rel = offsets - base
-    here = ~SPACE[data[base : offsets[-1]]]
+    here = ~space[data[base : offsets[-1]]]
     before = np.empty_like(here)
     before[:1] = False
     before[1:] = here[:-1]
@@ -143,3 +143,12 @@ def slide_min(x: np.ndarray, w: int) -> np.ndarray:
 def row_of(first: np.ndarray) -> np.ndarray:
     """The row of every word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `spans`, for maximal runs of ASCII letters and bytes of other scripts."""
+    return spans(data, offsets, ~LETTER)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, packing, quality_rules, substring_dedup
+from barloom.llm import exact_dedup, language_id, packing, quality_rules, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,12 +29,28 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_docs(spark, sf_dir))
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out()))
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = language_id.predict(docs, language_id.fit(docs.filter(~_held_out())))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
