@@ -16,6 +16,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -103,6 +104,12 @@ class Encoder:
             return self.whole(text)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder, with its words, for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def decompose(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
     """(start, length) pieces of n ids: whole pieces of `most`, then the binary digits of the rest."""
     out = [(i, most) for i in range(0, n - n % most, most)]
@@ -131,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

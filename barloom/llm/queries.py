@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, packing, quality_rules, substring_dedup, toxicity
+from barloom.llm import exact_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_docs(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = language_id.predict(docs, language_id.fit(docs.filter(~_held_out())))
@@ -50,7 +54,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
