@@ -63,6 +63,17 @@ def oracle_sql() -> dict[str, str]:
             WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
             g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""",
+        "op9_ngram_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+            link AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+                     GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+            edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+            reach AS (SELECT x AS doc_id, x AS other FROM edge UNION SELECT r.doc_id, e.y FROM reach r JOIN edge e ON e.x = r.other),
+            root AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+            SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root.component_id, w.doc_id) AS component_id
+            FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)""",
         "op4_substring_dedup": r"""
             WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
             win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
