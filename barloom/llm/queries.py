@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from barloom.llm import chat_format, exact_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,14 +29,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_docs(spark, sf_dir))
 
 
-def _held_out() -> Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out()))
-    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digest(chat_format.windows(turns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +52,8 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    found = language_id.predict(docs, language_id.fit(docs.filter(~_held_out())))
-    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+    found = language_id.predict(docs, language_id.fit(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +61,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op9_ngram_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op7_chat_format, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
