@@ -47,6 +47,11 @@ def unescape(c: Column) -> Column:
     return F.replace(c, F.lit("\\\\"), F.lit("\\"))
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that the optimizer doesn't copy a computed array into every lambda that reads it."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET) -> DataFrame:
     """One row per window: conv_id, window (ordered within the conversation), formatted, loss (array of
     (start, length), from 0, in characters), n_turns, n_repeated (leading turns shown before), n_tokens."""
@@ -68,10 +73,13 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     b = b.withColumn("led", F.expr("coalesce(lead.turn <=> ts[0].turn AND lead.role = ts[0].role AND lead.text = ts[0].text, false)"))
     tokens = f"CAST(ceil(octet_length(x.text) / 4) AS BIGINT) + {TURN_TOKENS}"
     b = b.withColumn("p", F.expr(f"aggregate(ts, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) + {tokens})))"))
+    b = _fixed(b)
     b = b.withColumn("room", F.expr(f"{budget} - CASE WHEN lead IS NULL THEN 0 ELSE CAST(ceil(octet_length(lead.text) / 4) AS BIGINT) + {TURN_TOKENS} END"))
     floor_at = "CAST(led AS INT)"
     reach = f"filter(sequence(greatest(i - {history}, least({floor_at}, i)), i), j -> j = i OR (p[i] - p[j] <= {history_budget} AND p[i + 1] - p[j] <= room))[0]"
+    b = _fixed(b)
     hist = b.withColumn("h", F.expr(f"transform(sequence(0, size(ts) - 1), i -> {reach})"))
+    hist = _fixed(hist)
     # room counts the lead once, so turns are summed from the first that is not the lead itself
     start = f"greatest(h[a], {floor_at})"
     fold = (
@@ -86,8 +94,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     # history never holds the lead: windows after the first start no earlier than the turn behind it
     w = w.withColumn("pieces", F.expr("concat(CASE WHEN with_lead THEN array(named_struct('role', lead.role, 'text', lead.text)) ELSE array() END, " + shown.format("first", "e") + ")"))
     w = w.withColumn("n_repeated", F.expr("CAST(with_lead AS INT) + s - first"))
+    w = _fixed(w.select("conv_id", "block", "k", "s", "e", "first", "with_lead", "pieces", "n_repeated", "p", "room"))
     w = w.withColumn("heads", F.transform("pieces", lambda x: F.concat(F.lit("<|"), escape(x["role"]), F.lit("|>\n")))).withColumn("bodies", F.transform("pieces", lambda x: escape(x["text"])))
+    w = _fixed(w)
     w = w.withColumn("ends", F.expr("aggregate(sequence(0, size(pieces) - 1), array(0), (acc, i) -> concat(acc, array(element_at(acc, -1) + length(heads[i]) + length(bodies[i]) + 4)))"))
+    w = _fixed(w)
     loss = "transform(filter(sequence(0, size(pieces) - 1), i -> i >= n_repeated AND pieces[i].role = 'assistant'), i -> named_struct('start', ends[i] + length(heads[i]), 'length', length(bodies[i])))"
     return w.select(
         "conv_id",
@@ -109,7 +120,9 @@ def read_back(formatted: Column) -> Column:
 def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from windows."""
     w = formatted.select("conv_id", "window", "n_repeated", "loss", "formatted", read_back(F.col("formatted")).alias("ts"))
+    w = _fixed(w)
     w = w.withColumn("new", F.expr("slice(ts, n_repeated + 1, size(ts) - n_repeated)"))
+    w = _fixed(w)
     w = w.select(
         "conv_id",
         F.size("new").cast("long").alias("n"),
