@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, exact_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from barloom.llm import chat_format, exact_dedup, html_extraction, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_docs(spark, sf_dir))
 
@@ -61,7 +65,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op7_chat_format, op9_ngram_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op7_chat_format, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
