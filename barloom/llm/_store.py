@@ -19,6 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds Arrow batches of this session to `rows` rows from now on (frames run later): a batch of whole texts,
+    or of two texts a row, then stays at a few megabytes in every Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the frame: the size of its files for a table just read."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

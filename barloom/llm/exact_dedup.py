@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch
-from barloom.llm._store import cut
+from barloom.llm._store import cut, text_batches
 
 MAX_BITS = 1 << 27
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,6 +52,7 @@ def _keys(part: pa.RecordBatch, column: int) -> np.ndarray:
 def mark(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = cut(digests(docs))
     width = _sketch.width_for(rows.count() * 8, max_bits)
     seen = _sketch.build(rows.select("text_sha256"), lambda part: _keys(part, 0), width)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._store import cut
+from barloom.llm._store import cut, text_batches
 
 VOTES = 3
 PATHS = 5
@@ -244,6 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
             got = [Page(html.as_py() or "").text(paths.as_py() or []) for html, paths in zip(part.column(2), part.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([p for _, p in got], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 
+    text_batches(pages.sparkSession)
     paths = cut(host_paths(pages))
     kinds = dict(pages.dtypes)
     joined = _hosted(pages).join(paths, "__host", "left").select("page_id", "url", "html", "paths")

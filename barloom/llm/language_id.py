@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
+from barloom.llm._store import text_batches
 
 MAX_ROWS = 12_000
 SIZES = (3, 5)
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
 
 def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    text_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm._store import text_batches
+
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 400_000
+CACHE = 200_000
 SIGNS = "#*$%&|<>.,!?;:"
 
 
@@ -136,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     end = end_id.to_bytes(4, "little")
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._store import input_bytes
+from barloom.llm._store import input_bytes, text_batches
 
 SIZE = 50
 MAX_BITS = 1 << 29
@@ -119,6 +119,7 @@ def _blobs(bucket: int, ids, rows, doc, pos, h1, h2, settled: bool) -> tuple:
 def marks(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFrame:
     """(__id, __row, __runs): the runs of window starts to remove, by document row."""
     spark = docs.sparkSession
+    text_batches(spark)
     keyed = _keyed(docs)
     guess = input_bytes(docs)
     width = _sketch.width_for(guess // 10, max_bits)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import cut
+from barloom.llm._store import cut, text_batches
 
 MAX_ROWS = 4000
 WINDOW = 16
@@ -131,6 +131,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Learns from the labels given; leave held-out rows out of them."""
+    text_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("label"))
     count = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(count.values())
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row."""
+    text_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows predicted toxic; every column stays."""
+    text_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     at = docs.columns.index("text")
