@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, exact_dedup, html_extraction, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from barloom.llm import chat_format, exact_dedup, html_extraction, language_id, ngram_join, packing, quality_rules, sentence_pieces, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(_docs(spark, sf_dir))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_docs(spark, sf_dir))
 
@@ -65,7 +69,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op7_chat_format, op9_ngram_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_toxicity, op6_exact_dedup, op7_chat_format, op8_sentence_pieces, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
