@@ -122,9 +122,9 @@ def portfolio(result: DataFrame, n: int = 10) -> DataFrame:
 PORTFOLIO_METRICS = ("sales_growth_pct", "pat_growth_pct", "peg", "trailing_pe", "beta", "market_cap_cr", "turnover_cr")
 
 
-def portfolio_summary(held: DataFrame) -> DataFrame:
+def portfolio_summary(held: DataFrame, digits: int = 2) -> DataFrame:
     """Averages with the number of rows that have data, holdings and sectors; texts that are no numbers count as missing."""
     num = {m: C(m).try_cast("double") for m in PORTFOLIO_METRICS if m in held.columns}
     return held.agg(
-        F.count(F.lit(1)).alias("n_holdings"), F.count_distinct("sector").alias("n_sectors"), *[x for m, c in num.items() for x in (F.round(F.avg(c), 2).alias(f"avg_{m}"), F.count(c).alias(f"n_{m}"))]
+        F.count(F.lit(1)).alias("n_holdings"), F.count_distinct("sector").alias("n_sectors"), *[x for m, c in num.items() for x in (F.round(F.avg(c), digits).alias(f"avg_{m}"), F.count(c).alias(f"n_{m}"))]
     )
