@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +33,7 @@ from barloom.llm._store import text_batches
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
+WORDS = 200_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -137,12 +140,49 @@ def build(model: Model):
     return out
 
 
+class Coder:
+    """Encodes batches; words between single spaces are looked up, and a batch's new ones are encoded together by the
+    library's threads. That is exact where texts are cut before markers and nothing else is normalised."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            model = Model.parse(f.read())
+        self.tokenizer = build(model)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not (model.charsmap or model.squeeze)
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as native uint32 bytes."""
+        parts = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
+        parts = [None if p is None or "" in p else p for p in parts]
+        need = {w for p in parts if p for w in p}.difference(self.words)
+        if len(self.words) + len(need) > WORDS:
+            self.words.clear()
+            need = {w for p in parts if p for w in p}
+        new = list(need)
+        self.words.update(zip(new, self._encode(new), strict=True))
+        whole = self._encode([t for t, p in zip(texts, parts, strict=True) if p is None])
+        look = self.words.__getitem__
+        return [next(whole) if p is None else b"".join(map(look, p)) for p in parts]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+
+def little_endian(ids: bytes) -> bytes:
+    return ids if sys.byteorder == "little" else np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
+
+
 @lru_cache(maxsize=2)
-def _loaded(path: str, threads: int):
+def _loaded(path: str, threads: int) -> Coder:
+    """One coder, with its words, for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
-    with open(path, "rb") as f:
-        return build(Model.parse(f.read()))
+    return Coder(path)
 
 
 @lru_cache(maxsize=2)
@@ -169,7 +209,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = THREADS, ve
         coder = _loaded(path, threads)
         for part in batches:
             texts = [x or "" for x in part.column(1).to_pylist()]
-            ids = [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [np.frombuffer(x, np.uint32).tolist() for x in coder(texts)]
             columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
             if verify:
                 columns.append(pa.array([a == b for a, b in zip(ids, _original(path).encode(texts, num_threads=1), strict=True)], pa.bool_()))
@@ -187,7 +227,7 @@ def decode(coded: DataFrame, model: str | None = None, threads: int = THREADS) -
         at = coded.columns.index("ids")
         for part in batches:
             lists = part.column(at).to_pylist()
-            texts = iter(coder.decode_batch([x for x in lists if x is not None], skip_special_tokens=False))
+            texts = iter(coder.decode([x for x in lists if x is not None]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in lists], pa.string())], [*coded.columns, "text"])
 
     return coded.mapInArrow(run, _with_text(coded))
@@ -208,10 +248,10 @@ def digest(docs: DataFrame, model: str | None = None, threads: int = THREADS) ->
         coder, original = _loaded(path, threads), _original(path)
         for part in batches:
             texts = [x or "" for x in part.column(1).to_pylist()]
-            ids = [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(ids, original.encode(texts, num_threads=1), strict=True)]
-            back = [a == b for a, b in zip(coder.decode_batch(ids, skip_special_tokens=False), texts, strict=True)]
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
+            coded = coder(texts)
+            same = [a == array("I", b).tobytes() for a, b in zip(coded, original.encode(texts, num_threads=1), strict=True)]
+            back = [a == b for a, b in zip(coder.decode([np.frombuffer(x, np.uint32).tolist() for x in coded]), texts, strict=True)]
+            crc = [zlib.crc32(little_endian(x)) for x in coded]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
