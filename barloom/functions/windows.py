@@ -76,10 +76,11 @@ def smoothed_long(df: DataFrame, name: str, x: str, alpha: float, need: int) ->
 
     def run(bars):
         bars = bars.sort_values(TIME)
-        bars[name] = bars[x].ewm(alpha=alpha, adjust=False, min_periods=need).mean()
+        y = bars[x].ewm(alpha=alpha, adjust=False, min_periods=need).mean()
+        bars[name] = y.astype(object).where(y.notna(), None)
         return bars
 
-    return df.groupBy(KEY).applyInPandas(run, df.withColumn(name, F.lit(0.0)).schema)
+    return df.groupBy(KEY).applyInPandas(run, df.withColumn(name, F.lit(None).cast("double")).schema)
 
 
 def wilder(x: Column, n: int) -> tuple[Column, float, int]:
