@@ -64,7 +64,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def groups(offsets: np.ndarray, most: int = 1 << 22):
+def groups(offsets: np.ndarray, most: int = 1 << 20):
     """(lo, hi) row ranges of at most `most` bytes each, one row at least."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
