@@ -220,15 +220,15 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = THREADS, ve
 
 def decode(coded: DataFrame, model: str | None = None, threads: int = THREADS) -> DataFrame:
     """coded with its column `ids` decoded into a column `text`; null ids give null."""
-    path = _path(model)
+    path, names = _path(model), [*coded.columns, "text"]
+    at = coded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(path, threads)
-        at = coded.columns.index("ids")
         for part in batches:
             lists = part.column(at).to_pylist()
             texts = iter(coder.decode([x for x in lists if x is not None]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in lists], pa.string())], [*coded.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in lists], pa.string())], names)
 
     return coded.mapInArrow(run, _with_text(coded))
 
