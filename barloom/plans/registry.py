@@ -76,7 +76,7 @@ SERIES: dict[str, tuple[list[str], int | None]] = {
     "w19_turnover": (["turnover_cr"], 4),
     "w20_rates_of_change": (["roc3", "roc5", "roc10", "pct_above_sma50", "pct_above_sma200"], 4),
     "w21_atr_pct": (["atr_pct", "atr_pct_chg20"], 4),
-    "j05_benchmark_join": (["bench_close"], 3),
+    "j05_benchmark_join": (["bench_close"], 6),
     "w22_relative_strength": (["rs_line", "rs_line_high63", "rs_new_high", "rs_roc20", "relative_return_20d"], 4),
 }
 SERIES["w23_pipeline"] = (["sma50", "rsi", "adx", "macd_hist", "donchian_breakout", "volume_surge", "close_strength", "turnover_cr", "roc10", "atr_pct_chg20", "rs_new_high", "relative_return_20d"], 3)
