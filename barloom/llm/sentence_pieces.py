@@ -149,26 +149,52 @@ class Coder:
             model = Model.parse(f.read())
         self.tokenizer = build(model)
         self.by_word = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not (model.charsmap or model.squeeze)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
         self.words: dict[str, bytes] = {}
+        self.broken: set[str] = set()  # words that decoding doesn't give back
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word behind a marker: many words in one text, cut where a piece begins with the marker,
+        as a word holds none and its first piece always has it."""
+        texts = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for part, raw in zip(texts, self._encode([" ".join(t) for t in texts]), strict=True):
+            first = np.flatnonzero(self.begins[np.frombuffer(raw, np.uint32)]).tolist()
+            if len(first) != len(part):
+                yield from self._encode(part)
+                continue
+            for a, b in zip(first, [*first[1:], len(raw) // 4], strict=True):
+                yield raw[4 * a : 4 * b]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native uint32 bytes."""
-        parts = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
-        parts = [None if p is None or "" in p else p for p in parts]
+        parts = self._parts(texts)
         need = {w for p in parts if p for w in p}.difference(self.words)
         if len(self.words) + len(need) > WORDS:
             self.words.clear()
             need = {w for p in parts if p for w in p}
         new = list(need)
-        self.words.update(zip(new, self._encode(new), strict=True))
+        ids = list(self._encode_words(new))
+        self.words.update(zip(new, ids, strict=True))
+        self.broken.update(w for w, back in zip(new, self.decode([np.frombuffer(x, np.uint32).tolist() for x in ids]), strict=True) if w != back)
         whole = self._encode([t for t, p in zip(texts, parts, strict=True) if p is None])
         look = self.words.__getitem__
         return [next(whole) if p is None else b"".join(map(look, p)) for p in parts]
 
+    def _parts(self, texts: list[str]) -> list[list[str] | None]:
+        """The words of texts with single spaces only; None for the others."""
+        parts = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
+        return [None if p is None or "" in p else p for p in parts]
+
+    def round_trips(self, texts: list[str], coded: list[bytes]) -> list[bool]:
+        """Whether decoding gives each text back: by word where texts are encoded by word."""
+        parts = self._parts(texts)
+        back = iter(self.decode([np.frombuffer(c, np.uint32).tolist() for c, p in zip(coded, parts, strict=True) if p is None]))
+        return [next(back) == t if p is None else self.broken.isdisjoint(p) for t, p in zip(texts, parts, strict=True)]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -250,7 +276,7 @@ def digest(docs: DataFrame, model: str | None = None, threads: int = THREADS) ->
             texts = [x or "" for x in part.column(1).to_pylist()]
             coded = coder(texts)
             same = [a == array("I", b).tobytes() for a, b in zip(coded, original.encode(texts, num_threads=1), strict=True)]
-            back = [a == b for a, b in zip(coder.decode([np.frombuffer(x, np.uint32).tolist() for x in coded]), texts, strict=True)]
+            back = coder.round_trips(texts, coded)
             crc = [zlib.crc32(little_endian(x)) for x in coded]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
