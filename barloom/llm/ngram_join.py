@@ -19,9 +19,10 @@ are dealt to a grid of chunk pairs, so no task holds a hot shingle's sets togeth
 Searching. Round 1: every set asks each of its trees for the one earlier set with the best bound (pairs linear
 in the rows) and is paired with the tree's least set; each set's best pair and its pair with the least set it met
 are verified on whole sets, and links are joined into components. Round 2:
-trees with a first pair between components are asked for every pair that passes the bound and lies in different
-components, and these are verified too, each text once for a connected group of pairs. So large groups of near copies connect without listing their pairs, and no link between
-different components is lost.
+every tree is asked again for the pairs that pass the bound and lie in different components, whatever round 1 found in
+it, and these are verified too, each text once for a connected group of pairs. So large groups of near copies connect
+without listing their pairs, and no link between different components is lost. The components of up to ROOTS sets are
+broadcast for this; sets beyond count as apart from all until their exact components are joined (more shuffle, same result).
 
 Bounds: sketches are sized for the input up to `max_bits` cells a row; past that, order gets closer to
 hash order and unique shingles are routed too (more shuffle, same result). Shingles are compared as 64-bit
@@ -58,6 +59,8 @@ HOLD_ROWS = 1 << 18
 CHUNK = 4096
 LEAF = 16
 JOB = 4000
+#: At most this many sets' components are broadcast (12 bytes each).
+ROOTS = 1 << 22
 U = np.uint64
 
 
@@ -517,6 +520,30 @@ def _verified_together(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out if large.isEmpty() else out.unionByName(_verified(large, docs))
 
 
+def _roots(known: DataFrame) -> Broadcast:
+    """The sorted first signatures of known(s1, root) and their roots as numbers from 0; of more than ROOTS an even share."""
+    share = -(-known.count() // ROOTS)
+    if share > 1:
+        known = known.filter(F.pmod(F.xxhash64("s1"), F.lit(share)) == 0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in part.columns], ["sigs", "roots"])
+
+    rows = known.mapInArrow(pack, "sigs binary, roots binary").collect()
+    sig, root = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[i], np.int64) for r in rows]]) for i in (0, 1))
+    order = np.argsort(sig)
+    return known.sparkSession.sparkContext.broadcast((sig[order], np.unique(root, return_inverse=True)[1][order].astype(np.int32)))
+
+
+def _root_of(sig: np.ndarray, sigs: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The numbers of the roots of first signatures, -1 where none is known."""
+    if not len(sigs):
+        return np.full(len(sig), -1, np.int32)
+    at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
+    return np.where(sigs[at] == sig, roots[at], -1)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
 
@@ -555,23 +582,22 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = first.select("a", "b", "r", end).groupBy("id").agg(F.max(F.struct("r", "a", "b")).alias("p")).select("p.a", "p.b").union(hub.select("a", "b")).distinct()
     linked = _verified(cut(best), keyed)
     root = cut(components(linked))
-    # a tree whose first pairs all lie within components is connected; the others have a set at the end of a pair that doesn't
-    ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
-    apart = first.join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    failed = apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    failed = cut(failed.join(reps, "rep").select("s1").distinct())
-    width = _sketch.width_for(failed.count() * 8, 1 << 27)
-    open_sets = _sketch.build(failed, lambda part: np.repeat(_words.mix(part.column(0).to_numpy(zero_copy_only=False).view(U)), 2), width)
-    unsettled = lambda token, sig: _groups_with(token, _sketch.repeated(open_sets.value, _words.mix(sig.view(U)), width))
-    known = reps.join(root, F.col("rep") == F.col("node"), "left").groupBy("s1").agg(F.min(F.coalesce("root", "rep")).alias("root"))
+    rooted = F.coalesce("root", "rep")
+    known = cut(reps.join(root, F.col("rep") == F.col("node"), "left").groupBy("s1").agg(F.min(rooted).alias("root"), F.max(rooted).alias("last"), F.count("root").alias("n")))
+    together = _roots(known.filter("root = last AND n > 0").select("s1", "root"))
+    known = known.select("s1", "root")
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Open trees only, dealt anew by their least set: trees of one group of near copies meet in few buckets,
-        where a pair is found once."""
+        """Of every tree the sets with a pair that passes the bound and isn't known to lie within a component, dealt anew
+        by the least of them: trees of one group of near copies meet in few buckets, where a pair is found once."""
         for part in batches:
             for _, *raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 token, at, sig, size, pt, fine = _arrays(raw)
-                still = unsettled(token, sig[at])
+                root = _root_of(sig, *together.value)[at]
+                still = np.zeros(len(token), bool)
+                for a, b, _ in _search(token, size.astype(np.int64)[at], pt[at], fine[at]):
+                    apart = (root[a] != root[b]) | (root[a] < 0)
+                    still[a[apart]] = still[b[apart]] = True
                 token, at = token[still], at[still]
                 if not len(token):
                     continue

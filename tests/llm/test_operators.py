@@ -380,6 +380,27 @@ def test_similar_sets_on_edge_cases(spark):
     assert ngram_join.classes(docs(spark, [])).count() == 0
 
 
+def stars(seed):
+    """Groups whose copies link to their base only (each lacks other words), some bridged by a text between two bases."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(24):
+        base = [f"s{g}x{k}" for k in range(304)]
+        order = rng.sample(range(6, 298, 6), 48)
+        group = [base, *([w for k, w in enumerate(base) if k not in order[c * 6 : c * 6 + 6]] for c in range(rng.choice((2, 4, 8))))]
+        if g % 6 == 0:
+            group += [base[:275] + [f"t{g}x{k}" for k in range(29)], base[:246] + [f"t{g}x{k}" for k in range(58)]]
+        texts += [" ".join(x) for x in rng.sample(group, len(group))]
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_linked_through_one_base_only(spark, seed):
+    texts = stars(seed)
+    got = Counter(tuple(r) for r in ngram_join.classes(docs(spark, texts)).collect())
+    assert got == linked(list(enumerate(texts)))
+
+
 def test_tree_search_loses_no_pair():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(30)]
