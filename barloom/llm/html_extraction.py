@@ -18,6 +18,7 @@ closing tags are ignored); repeated rows vote and are extracted one by one; an e
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -89,6 +90,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, links = [0], 0
+        opened: Counter[str] = Counter()  # elements on the stack by tag
         held: list[str] = []
         linked = 0
 
@@ -127,25 +129,27 @@ class Page:
             if tag in VOID:
                 continue
             if m[1]:
-                if tag in map(self.tag.__getitem__, stack[1:]) if tag in INLINE or len(stack) < 200 else self.tag[stack[-1]] == tag:
+                if opened[tag]:
                     if tag in INLINE and any(self.tag[n] not in INLINE for n in stack[len(stack) - 1 - self._back(stack, tag) :][1:]):
                         continue  # an inline tag doesn't close blocks
                     while len(stack) > 1:
                         gone = self.tag[stack.pop()]
+                        opened[gone] -= 1
                         links -= gone == "a"
                         if gone == tag:
                             break
                 continue
             if tag not in INLINE:
-                links -= self._close_implied(tag, stack)
+                links -= self._close_implied(tag, stack, opened)
             stack.append(self._open(tag, m[3], stack))
+            opened[tag] += 1
             links += tag == "a"
         flush()
 
     def _back(self, stack: list[int], tag: str) -> int:
         return next(k for k, n in enumerate(reversed(stack)) if self.tag[n] == tag)
 
-    def _close_implied(self, tag: str, stack: list[int]) -> int:
+    def _close_implied(self, tag: str, stack: list[int], opened: Counter[str]) -> int:
         """Closes an open paragraph before a block, and siblings such as li before li; the number of links closed."""
         gone = 0
         ends = CLOSES.get(tag, ())
@@ -154,6 +158,7 @@ class Page:
             open_tag = self.tag[stack[k]]
             if open_tag == "p" or open_tag in ends:
                 gone += sum(self.tag[n] == "a" for n in stack[k:])
+                opened.subtract(self.tag[n] for n in stack[k:])
                 del stack[k:]
             elif open_tag not in INLINE and not (ends and open_tag not in SCOPES):
                 break

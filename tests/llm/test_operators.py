@@ -161,6 +161,12 @@ def test_extraction(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_closing_tags_count_at_any_depth(spark):
+    rows = [(d, f"http://d{d}.example/", "<div>" * d + "<nav><section>menu</nav><p>the story") for d in (3, 198, 250, 2000)]
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == dict.fromkeys((3, 198, 250, 2000), "the story")
+
+
 def test_consensus_beats_an_odd_page(spark):
     usual = "<body><div class=story><p>{}</p></div><div class=links><p>{}</p></div>"
     rows = [(k, "http://h.example/x", usual.format("long story text " * 20, "short")) for k in range(5)] + [(9, "http://h.example/y", usual.format("tiny story", "a much longer list of other things " * 9))]
