@@ -448,6 +448,18 @@ def _unpack(part: pa.RecordBatch) -> Iterator[tuple]:
         yield bucket, token, sig[at], size.astype(np.int64)[at], pt[at], fine[at]
 
 
+def _runs(token: np.ndarray, rows: int = 1 << 16) -> Iterator[slice]:
+    """Slices of whole runs of equal tokens, of `rows` rows or one run: what is held by row stays small."""
+    ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+    lo = 0
+    while lo < len(token):
+        hi = int(ends[np.searchsorted(ends, min(lo + rows, len(token)), "right") - 1])
+        if hi <= lo:
+            hi = int(ends[np.searchsorted(ends, lo, "right")])
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows (id, text) of docs whose id is among ends(id), and perhaps a few others: a filter of bounded size is broadcast."""
     width = _sketch.width_for(ends.count() * 8, 1 << 27)
@@ -563,9 +575,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for _, token, sig, size, pt, fine in _unpack(part):
-                a, b, ratio = _nearest(token, sig, size, pt, fine)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ratio)], ["s", "t", "r"])
+            for _, *raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                token, at, sig, size, pt, fine = _arrays(raw)
+                for x in _runs(token):
+                    k = at[x]
+                    a, b, ratio = _nearest(token[x], sig[k], size.astype(np.int64)[k], pt[k], fine[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ratio)], ["s", "t", "r"])
 
     def to_ids(pairs: DataFrame) -> DataFrame:
         """Pairs of first signatures as pairs of representatives; a shared first signature gives every set that has it."""
@@ -593,11 +608,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for part in batches:
             for _, *raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 token, at, sig, size, pt, fine = _arrays(raw)
-                root = _root_of(sig, *together.value)[at]
+                root = _root_of(sig, *together.value)
                 still = np.zeros(len(token), bool)
-                for a, b, _ in _search(token, size.astype(np.int64)[at], pt[at], fine[at]):
-                    apart = (root[a] != root[b]) | (root[a] < 0)
-                    still[a[apart]] = still[b[apart]] = True
+                for x in _runs(token):
+                    k = at[x]
+                    r, part_still = root[k], still[x]
+                    for a, b, _ in _search(token[x], size.astype(np.int64)[k], pt[k], fine[k]):
+                        apart = (r[a] != r[b]) | (r[a] < 0)
+                        part_still[a[apart]] = part_still[b[apart]] = True
                 token, at = token[still], at[still]
                 if not len(token):
                     continue

@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from barloom.llm import queries
+from test_operators import docs, linked, stars
 
 
 def test_stages(spark, sf):
@@ -24,6 +25,12 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
 
 
+def test_one_of_each_group_of_near_copies_stays(spark, sf):
+    texts = stars(3)
+    left = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs(spark, texts), sf)
+    assert {r.doc_id for r in left.collect()} == {root for _, _, root in linked(list(enumerate(texts)))}
+
+
 def test_stages_take_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
