@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm import _sketch
 from barloom.llm._store import cut, text_batches
@@ -31,20 +32,33 @@ MAX_BITS = 1 << 27
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _sums(texts: pa.Array) -> pa.Array:
+    import hashlib
+
+    return pa.array([hashlib.sha256((x.as_py() or b"").translate(TABLE)).hexdigest() for x in texts.cast(pa.large_binary())], pa.string())
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for part in batches:
-            texts = part.column(1).cast(pa.large_binary())
-            sums = [hashlib.sha256((x.as_py() or b"").translate(TABLE)).hexdigest() for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.string())], ["doc_id", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _sums(part.column(1))], ["doc_id", "text_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_sha256 string")
 
 
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """docs and the digest of every row as __digest."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([*part.columns, _sums(part.column(at))], [*part.schema.names, "__digest"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__digest", T.StringType())]))
+
+
 def _keys(part: pa.RecordBatch, column: int) -> np.ndarray:
     return np.array([int(x[:16], 16) for x in part.column(column).to_pylist()], np.uint64)
 
@@ -73,7 +87,9 @@ def mark(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that `mark` drops, columns unchanged.
 
-    The dropped ids are joined against the documents; ids that no other text shares stay out of the join's build side.
+    The dropped rows are joined against the documents by doc_id and digest, as a null or repeated doc_id may also stand
+    on a text that stays; rows that no other text shares stay out of the join's build side.
     """
-    gone = mark(docs, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = mark(docs, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sum")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__sum"))
+    return _with_digest(docs).join(gone, same, "left_anti").drop("__digest")

@@ -704,6 +704,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without the rows of a component other than its least doc_id; every column stays."""
-    gone = classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with one row of each component, that of the least doc_id (null as the largest; then any, the same in every
+    run); every column stays. Rows are told by a 64-bit hash of doc_id and text, so null and repeated ids join nothing."""
+    doc_id = F.col("doc_id").cast("long")
+    node = F.least(F.xxhash64(doc_id, F.col("text").cast("string")), F.lit(NO_ID - 1))
+    found = classes(docs.withColumn("doc_id", node)).filter("doc_id <> component_id")
+    member = cut(found.select(F.col("doc_id").alias("__node"), "component_id").distinct())
+    member = member.union(member.select("component_id", "component_id").distinct())
+    rows = docs.select(doc_id.alias("__gone"), node.alias("__node")).join(member, "__node").distinct()
+    order = F.struct(F.col("__gone").isNull(), "__gone", "__node")
+    least = rows.groupBy("component_id").agg(F.min(order).getField("__node").alias("least"))
+    gone = rows.join(least, "component_id").filter("__node <> least").select("__gone", "__node")
+    return docs.join(gone, doc_id.eqNullSafe(F.col("__gone")) & (node == F.col("__node")), "left_anti")

@@ -407,6 +407,16 @@ def test_copies_linked_through_one_base_only(spark, seed):
     assert got == linked(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("drop, stays", [(exact_dedup.drop_copies, 9), (ngram_join.representatives, 3)])
+def test_null_and_repeated_ids_drop_no_other_text(spark, drop, stays):
+    copy, other = "a b c d e f g h", ["p q r s t u v w", "k l m n o p q r", "g f e d c b a z"]
+    rows = [(None, other[0]), (None, copy), (3, copy), (5, other[1]), (5, copy), (9, copy), (9, other[2])]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    left = drop(frame)
+    assert left.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(None, other[0]), (5, other[1]), (9, other[2]), (stays, copy)])
+
+
 def test_tree_search_loses_no_pair():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64)) for _ in range(30)]
