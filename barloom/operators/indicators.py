@@ -22,32 +22,32 @@ def rsi_from(gain: Column, loss: Column) -> Column:
     return F.coalesce(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))), F.lit(100.0))
 
 
-def with_rsi(df: DataFrame, n: int, name: str = "rsi", *key: str) -> DataFrame:
+def _moves(*key: str) -> dict[str, Column]:
+    """Gain and loss against the bar before, true range, and the moves up and down of highs and lows."""
     d = C("close") - back(C("close"), 1, *key)
-    df = df.withColumn("__d", d)
-    up, down = F.when(C("__d").isNotNull(), F.greatest(C("__d"), F.lit(0.0))), F.when(C("__d").isNotNull(), F.greatest(-C("__d"), F.lit(0.0)))
-    df = smoothed(df, {"__g": wilder(up, n), "__l": wilder(down, n)}, *key)
-    return df.withColumn(name, rsi_from(C("__g"), C("__l"))).drop("__d", "__g", "__l")
+    up, down = C("high") - back(C("high"), 1, *key), back(C("low"), 1, *key) - C("low")
+    side = lambda x: F.when(d.isNotNull(), F.greatest(x, F.lit(0.0)))
+    more = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(0.0)
+    return {"__gain": side(d), "__loss": side(-d), "__tr": true_range(*key), "__up": more(up, down), "__dn": more(down, up)}
 
 
-def with_adx(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """atr, plus_di, minus_di, adx."""
-    up, down = C("high") - back(C("high"), 1, *key), back(C("low"), 1, *key) - C("low")
-    df = df.withColumns({"__tr": true_range(*key), "__up": up, "__dn": down})
-    plus = F.when((C("__up") > C("__dn")) & (C("__up") > 0), C("__up")).otherwise(0.0)
-    minus = F.when((C("__dn") > C("__up")) & (C("__dn") > 0), C("__dn")).otherwise(0.0)
-    df = smoothed(df, {"atr": wilder(C("__tr"), n), "__p": wilder(plus, n), "__m": wilder(minus, n)}, *key)
-    atr = F.nullif(C("atr"), F.lit(0.0))
-    df = df.withColumns({"plus_di": 100 * C("__p") / atr, "minus_di": 100 * C("__m") / atr})
-    dx = 100 * F.abs(C("plus_di") - C("minus_di")) / F.nullif(C("plus_di") + C("minus_di"), F.lit(0.0))
-    return smoothed(df, {"adx": wilder(dx, n)}, *key).drop("__tr", "__up", "__dn", "__p", "__m")
+def with_rsi(df: DataFrame, n: int, name: str = "rsi", *key: str) -> DataFrame:
+    moves = _moves(*key)
+    df = df.withColumns({k: moves[k] for k in ("__gain", "__loss")})
+    df = smoothed(df, {"__g": wilder(C("__gain"), n), "__l": wilder(C("__loss"), n)}, *key)
+    return df.withColumn(name, rsi_from(C("__g"), C("__l"))).drop("__gain", "__loss", "__g", "__l")
 
 
-def with_macd(df: DataFrame, *key: str) -> DataFrame:
-    df = smoothed(df, {"__fast": ema(C("close"), 12), "__slow": ema(C("close"), 26)}, *key)
-    df = df.withColumn("macd", C("__fast") - C("__slow"))
-    df = smoothed(df, {"macd_signal": ema(C("macd"), 9)}, *key)
-    return df.withColumn("macd_hist", C("macd") - C("macd_signal")).drop("__fast", "__slow")
+def with_averages(df: DataFrame, cfg: Settings, *key: str) -> DataFrame:
+    """rsi, atr, plus_di, minus_di, adx, macd, macd_signal, macd_hist: two rounds of averages for all of them."""
+    n, m = cfg["filters"]["rsi"]["period"], cfg["filters"]["adx"]["period"]
+    first = {"__g": wilder(C("__gain"), n), "__l": wilder(C("__loss"), n), "atr": wilder(C("__tr"), m), "__p": wilder(C("__up"), m), "__m": wilder(C("__dn"), m)}
+    df = smoothed(df.withColumns(_moves(*key)), first | {"__fast": ema(C("close"), 12), "__slow": ema(C("close"), 26)}, *key)
+    atr = F.nullif(C("atr"), F.lit(0.0))
+    df = df.withColumns({"rsi": rsi_from(C("__g"), C("__l")), "plus_di": 100 * C("__p") / atr, "minus_di": 100 * C("__m") / atr, "macd": C("__fast") - C("__slow")})
+    dx = 100 * F.abs(C("plus_di") - C("minus_di")) / F.nullif(C("plus_di") + C("minus_di"), F.lit(0.0))
+    df = smoothed(df, {"adx": wilder(dx, m), "macd_signal": ema(C("macd"), 9)}, *key)
+    return df.withColumn("macd_hist", C("macd") - C("macd_signal")).drop("__gain", "__loss", "__tr", "__up", "__dn", "__g", "__l", "__p", "__m", "__fast", "__slow")
 
 
 def with_benchmark(df: DataFrame, bench: DataFrame | None, *key: str) -> DataFrame:
@@ -72,10 +72,8 @@ def enrich(bars: DataFrame, cfg: Settings, bench: DataFrame | None = None, key:
     """Bars with every indicator but Supertrend (see supertrend.py), from their base columns alone."""
     f = cfg["filters"]
     keep = [c for c in BASE if c not in key]
-    df = bars.select(*key, *keep).repartition(*key)
-    df = with_rsi(df, f["rsi"]["period"], "rsi", *key)
-    df = with_adx(df, f["adx"]["period"], *key)
-    df = with_macd(df, *key)
+    df = bars.select(*key, *keep)
+    df = with_averages(df, cfg, *key)
     d = C("close") - back(C("close"), 1, *key)
     df = df.withColumns(
         {
@@ -122,14 +120,10 @@ def snapshot(enriched: DataFrame, key: tuple[str, ...] = ("security_code",)) ->
     )
 
 
-def bar_number(*key: str) -> Column:
-    return F.row_number().over(ordered(*key))
-
-
 def tail(df: DataFrame, n: int, *key: str) -> DataFrame:
     """The last n bars of each security."""
     w = Window.partitionBy(*(key or ("security_code",))).orderBy(F.desc("date"))
     return df.withColumn("__n", F.row_number().over(w)).filter(C("__n") <= n).drop("__n")
 
 
-__all__ = ["bar_number", "enrich", "recent", "rsi_from", "snapshot", "tail", "true_range", "with_adx", "with_benchmark", "with_macd", "with_rsi"]
+__all__ = ["enrich", "recent", "rsi_from", "snapshot", "tail", "true_range", "with_averages", "with_benchmark", "with_rsi"]

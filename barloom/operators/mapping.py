@@ -10,6 +10,9 @@ from barloom.sources.tables import keep_first
 
 C = F.col
 MIN_CONFIDENCE = 0.82
+#: Reasons by default: of the code lookup (no row, sure by name, unsure), and of the symbol lookup (found, no row).
+CODE_REASONS = ("security_code_not_found_in_dump", "matched_nse_by_name", "no_confident_nse_match_using_bse")
+SYMBOL_REASONS = ("exact_nse_symbol_match", "symbol_not_found_in_nse_dump")
 COLUMNS = ("company_name_raw", "security_code", "sector", "universe", "resolved", "reason", "exchange", "tradingsymbol", "instrument_token", "bse_instrument_token", "match_confidence")
 
 
@@ -46,7 +49,7 @@ def best_names(wanted: DataFrame, dump: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select("security_code", "sym", "token", "score")
 
 
-def by_code(universe: DataFrame, bse: DataFrame, nse: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def by_code(universe: DataFrame, bse: DataFrame, nse: DataFrame, min_confidence: float = MIN_CONFIDENCE, tag: str = "BY_CODE", reasons: tuple[str, str, str] = CODE_REASONS) -> DataFrame:
     """Constituents to BSE rows by exchange token, then to the best NSE row by the BSE row's name key; below the
     confidence the BSE line stays. Dumps have name_key and pos (their order)."""
     b = keep_first(bse, "exchange_token", "pos").select("exchange_token", C("name_key").alias("bk"), C("tradingsymbol").alias("bsym"), C("instrument_token").alias("btoken"))
@@ -59,9 +62,9 @@ def by_code(universe: DataFrame, bse: DataFrame, nse: DataFrame, min_confidence:
         "company_name_raw",
         "security_code",
         "sector",
-        F.lit("BSE1000").alias("universe"),
+        F.lit(tag).alias("universe"),
         found.alias("resolved"),
-        F.when(~found, "security_code_not_found_in_kite_dump").when(sure, "matched_nse_by_name").otherwise("no_confident_nse_match_using_bse").alias("reason"),
+        F.when(~found, reasons[0]).when(sure, reasons[1]).otherwise(reasons[2]).alias("reason"),
         F.when(found, F.when(sure, "NSE").otherwise("BSE")).alias("exchange"),
         F.when(found, F.when(sure, C("sym")).otherwise(C("bsym"))).alias("tradingsymbol"),
         F.when(found, F.when(sure, C("token")).otherwise(C("btoken"))).alias("instrument_token"),
@@ -70,7 +73,7 @@ def by_code(universe: DataFrame, bse: DataFrame, nse: DataFrame, min_confidence:
     )
 
 
-def by_symbol(universe: DataFrame, nse: DataFrame) -> DataFrame:
+def by_symbol(universe: DataFrame, nse: DataFrame, tag: str = "BY_SYMBOL", reasons: tuple[str, str] = SYMBOL_REASONS) -> DataFrame:
     """Constituents to NSE rows by trading symbol."""
     n = keep_first(nse, "tradingsymbol", "pos").select("tradingsymbol", "instrument_token")
     j = universe.join(n, C("security_code") == C("tradingsymbol"), "left")
@@ -79,9 +82,9 @@ def by_symbol(universe: DataFrame, nse: DataFrame) -> DataFrame:
         "company_name_raw",
         "security_code",
         "sector",
-        F.lit("NIFTYTOTALMKT").alias("universe"),
+        F.lit(tag).alias("universe"),
         found.alias("resolved"),
-        F.when(found, "exact_nse_symbol_match").otherwise("symbol_not_found_in_kite_nse_dump").alias("reason"),
+        F.when(found, reasons[0]).otherwise(reasons[1]).alias("reason"),
         F.when(found, "NSE").alias("exchange"),
         "tradingsymbol",
         "instrument_token",

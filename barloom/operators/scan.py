@@ -136,7 +136,12 @@ def with_theme(result: DataFrame, theme_map: DataFrame) -> DataFrame:
     return result.join(t, "security_code", "left").withColumn("theme", F.coalesce("theme", F.lit("Unclassified")))
 
 
-def diagnostics(dims: DataFrame, ok: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Counts of a run: universe, fetched, skipped."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(dims, "n_universe").join(ok.agg(F.count_distinct("security_code").alias("n_ok")), how="cross").join(count(skipped, "n_skipped"), how="cross")
+def diagnostics(dims: DataFrame, ok: DataFrame, skipped: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Counts of a run: universe, resolved, fetched, skipped, failed, and the first five errors of failed(security_code, error)."""
+    resolved = C("resolved") if "resolved" in dims.columns else C("instrument_token").isNotNull()
+    part = lambda df, kind, error=F.lit(None): df.select(F.lit(kind).alias("kind"), error.cast("string").alias("error"))
+    rows = part(dims, "universe").union(part(dims.filter(resolved), "resolved")).union(part(ok.select("security_code").distinct(), "ok")).union(part(skipped, "skipped"))
+    if failed is not None:
+        rows = rows.union(part(failed, "failed")).union(part(failed.orderBy("security_code").limit(5), "error", F.concat_ws(": ", "security_code", "error")))
+    counts = [F.count_if(C("kind") == k).alias(f"n_{k}") for k in ("universe", "resolved", "ok", "skipped", "failed")]
+    return rows.agg(*counts, F.array_join(F.sort_array(F.collect_list("error")), "; ").alias("errors"))

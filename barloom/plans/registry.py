@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.bars_from_trades(spark, sf_dir)
+    return tables.kept(tables.bars_from_trades(spark, sf_dir))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +264,11 @@ def _(spark, sf_dir):
     return scan.enough(bars(spark, sf_dir), 540)[1]
 
 
-@query("p07_view", f"{_SCAN} SELECT security_code, round(total, 1) + 0.0 AS conviction_score FROM sc WHERE round(total, 1) >= 30 AND sector IN ('FRANCE', 'GERMANY', 'INDIA', 'CHINA')")
+@query("p07_view", f"{_SCAN} SELECT security_code, round(total, 1) + 0.0 AS conviction_score FROM sc WHERE round(total, 1) >= 10 AND security_code % 3 = 0 AND security_code % 4 <> 1")
 def _(spark, sf_dir):
-    r = scanned(spark, sf_dir).result.withColumns({"theme": C("sector"), "false_move_verdict": F.lit(None).cast("string")})
-    return scan.view(r, min_score=30, no_distribution=True, themes=["FRANCE", "GERMANY", "INDIA", "CHINA"]).select("security_code", "conviction_score")
+    themed = scan.with_theme(scanned(spark, sf_dir).result, tables.universe(spark, sf_dir).filter("security_code % 3 = 0").select("security_code", F.lit("Healthcare").alias("theme")))
+    verdict = F.when(C("security_code") % 4 == 0, "confirmed").when(C("security_code") % 4 == 1, "distribution_risk")
+    return scan.view(themed.withColumn("false_move_verdict", verdict), min_score=10, no_distribution=True, themes=["Healthcare"]).select("security_code", "conviction_score")
 
 
 @query("j08_theme", f"{_SCAN} SELECT security_code, CASE WHEN security_code % 3 = 0 THEN 'Healthcare' ELSE 'Unclassified' END AS theme FROM sc")
@@ -277,10 +278,11 @@ def _(spark, sf_dir):
     return scan.with_theme(r.select("security_code"), themes)
 
 
-@query("a15_diagnostics", f"WITH {Q.TRADES}, {Q.DIMS}, n AS (SELECT security_code, count(*) AS n FROM bars GROUP BY 1) SELECT (SELECT count(*) FROM dims) AS n_universe, count_if(n >= 540) AS n_ok, count_if(n < 540) AS n_skipped FROM n")
+@query("a15_diagnostics", f"WITH {Q.TRADES}, {Q.DIMS}, n AS (SELECT security_code, count(*) AS n FROM bars GROUP BY 1) SELECT (SELECT count(*) FROM dims) AS n_universe, (SELECT count(instrument_token) FROM dims) AS n_resolved, count_if(n >= 540) AS n_ok, count_if(n < 540) AS n_skipped, count_if(n < 535) AS n_failed, (SELECT string_agg(security_code || ': ' || n || ' bars', '; ' ORDER BY security_code::VARCHAR || ': ' || n || ' bars') FROM (SELECT * FROM n WHERE n < 535 ORDER BY security_code LIMIT 5)) AS errors FROM n")
 def _(spark, sf_dir):
     ok, few = scan.enough(bars(spark, sf_dir), 540)
-    return scan.diagnostics(tables.universe(spark, sf_dir), ok, few)
+    short = bars(spark, sf_dir).groupBy("security_code").count().filter("count < 535")
+    return scan.diagnostics(tables.universe(spark, sf_dir), ok, few, short.select("security_code", F.concat("count", F.lit(" bars")).alias("error")))
 
 
 for _t, _table in (("weekly", "w"), ("monthly", "m")):
@@ -668,7 +670,7 @@ def dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """A universe from parts, and two exchanges' dumps that hold most of it under varied names."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     code = C("p_partkey").cast("string")
-    u = p.filter("p_partkey % 2 = 0").select(code.alias("security_code"), F.initcap(F.concat_ws(" ", "p_name", "p_brand")).alias("company_name_raw"), C("p_type").alias("sector"))
+    u = p.select(code.alias("security_code"), F.initcap(F.concat_ws(" ", "p_name", "p_brand")).alias("company_name_raw"), C("p_type").alias("sector"))
     dump = lambda df, name, base: df.select(code.alias("exchange_token"), F.concat(F.lit("S"), code).alias("tradingsymbol"), (C("p_partkey") + base).alias("instrument_token"), C("p_partkey").alias("pos"), scalars.name_key(name).alias("name_key"))
     bse = dump(p.filter("p_partkey % 10 <> 0"), F.concat_ws(" ", "p_name", "p_brand", F.lit("Ltd")), 1_000_000)
     nse = dump(p.filter("p_partkey % 3 <> 0"), F.concat_ws(" ", "p_name", "p_brand", F.when(C("p_partkey") % 4 == 0, "Holdings")), 2_000_000)
@@ -683,7 +685,7 @@ def _(spark, sf_dir):
 
 @query(
     "j01_code_lookup",
-    "SELECT CAST(p_partkey AS VARCHAR) AS security_code, p_partkey % 10 <> 0 AS resolved, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey + 1000000 END AS bse_instrument_token FROM part WHERE p_partkey % 2 = 0",
+    "SELECT CAST(p_partkey AS VARCHAR) AS security_code, p_partkey % 10 <> 0 AS resolved, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey + 1000000 END AS bse_instrument_token FROM part",
 )
 def _(spark, sf_dir):
     u, bse, nse = dumps(spark, sf_dir)
@@ -692,8 +694,8 @@ def _(spark, sf_dir):
 
 @query(
     "j04_symbol_mapping",
-    """SELECT 'S' || p_partkey AS security_code, p_partkey % 3 <> 0 AS resolved, CASE WHEN p_partkey % 3 <> 0 THEN 'exact_nse_symbol_match' ELSE 'symbol_not_found_in_kite_nse_dump' END AS reason,
-    CASE WHEN p_partkey % 3 <> 0 THEN p_partkey + 2000000 END AS instrument_token, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS match_confidence FROM part WHERE p_partkey % 2 = 0""",
+    """SELECT 'S' || p_partkey AS security_code, p_partkey % 3 <> 0 AS resolved, CASE WHEN p_partkey % 3 <> 0 THEN 'exact_nse_symbol_match' ELSE 'symbol_not_found_in_nse_dump' END AS reason,
+    CASE WHEN p_partkey % 3 <> 0 THEN p_partkey + 2000000 END AS instrument_token, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS match_confidence FROM part""",
 )
 def _(spark, sf_dir):
     u, _, nse = dumps(spark, sf_dir)
@@ -703,14 +705,15 @@ def _(spark, sf_dir):
 
 @query(
     "u01_combine_mappings",
-    """WITH a AS (SELECT p_partkey AS k, p_partkey % 3 <> 0 AS r FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS k, p_partkey % 3 <> 0 AS r FROM part WHERE p_partkey % 5 = 0)
-    SELECT 'S' || k AS security_code, r AS resolved, CASE WHEN r AND k % 5 = 0 THEN 'A+B' ELSE 'A' END AS universe FROM a UNION ALL SELECT 'S' || k, r, 'B' FROM b WHERE NOT r OR k % 2 <> 0""",
+    """WITH a AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 0 AS r FROM supplier), b AS (SELECT p_partkey AS k, p_partkey % 3 <> 0 AS r FROM part)
+    SELECT 'S' || k AS security_code, r AS resolved, CASE WHEN r AND k IN (SELECT k FROM b) THEN 'A+B' ELSE 'A' END AS universe FROM a UNION ALL SELECT 'S' || k, r, 'B' FROM b WHERE NOT r OR k NOT IN (SELECT k FROM a)""",
 )
 def _(spark, sf_dir):
     _, _, nse = dumps(spark, sf_dir)
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    part = lambda cond, tag: mapping.by_symbol(p.filter(cond).select(F.concat(F.lit("S"), "p_partkey").alias("security_code"), C("p_name").alias("company_name_raw"), C("p_type").alias("sector")), nse).withColumn("universe", F.lit(tag))
-    return mapping.combine(part("p_partkey % 2 = 0", "A"), part("p_partkey % 5 = 0", "B")).select("security_code", "resolved", "universe")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    listed = lambda df, key, name, tag: mapping.by_symbol(df.select(F.concat(F.lit("S"), key).alias("security_code"), C(name).alias("company_name_raw"), F.lit("x").alias("sector")), nse, tag)
+    return mapping.combine(listed(s, "s_suppkey", "s_name", "A"), listed(p, "p_partkey", "p_name", "B")).select("security_code", "resolved", "universe")
 
 
 @query("a16_keep_first", "SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand")

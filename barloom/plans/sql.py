@@ -8,7 +8,7 @@ trades AS (SELECT l_suppkey AS security_code, CAST(l_shipdate AS DATE) AS date,
 bars AS (SELECT security_code, date, arg_min(p * (1 - d) * (1 + t), o) AS open, max(p * (1 + t)) AS high, min(p * (1 - d)) AS low, arg_max(p, o) AS close, sum(q) AS volume FROM trades GROUP BY ALL)"""
 
 DIMS = """
-dims AS (SELECT s_suppkey AS security_code, s_name AS company_name, coalesce(n_name, 'Unclassified') AS sector, 'BSE1000' AS universe, 'SYM' || s_suppkey AS tradingsymbol,
+dims AS (SELECT s_suppkey AS security_code, s_name AS company_name, coalesce(n_name, 'Unclassified') AS sector, 'BY_CODE' AS universe, 'SYM' || s_suppkey AS tradingsymbol,
   CASE WHEN s_suppkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, s_suppkey + 1000 AS instrument_token FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 
 BENCH = "bench AS (SELECT date, avg(close) AS bench_close FROM bars GROUP BY date)"

@@ -41,6 +41,12 @@ def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(bars: DataFrame) -> DataFrame:
+    """Bars dealt by security in order of date and persisted (memory, then disk): what follows in the session reads and
+    shuffles them no more. For series of many terabytes write them once with `write_bars` instead."""
+    return bars.repartition("security_code").sortWithinPartitions("security_code", "date").persist()
+
+
 def benchmark(bars: DataFrame) -> DataFrame:
     """Each date's mean close."""
     return bars.groupBy("date").agg(F.avg("close").alias("bench_close"))
@@ -54,7 +60,7 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("security_code"),
         F.col("s_name").alias("company_name_raw"),
         F.coalesce("n_name", F.lit("Unclassified")).alias("sector"),
-        F.lit("BSE1000").alias("universe"),
+        F.lit("BY_CODE").alias("universe"),
         F.concat(F.lit("SYM"), F.col("s_suppkey")).alias("tradingsymbol"),
         F.when(F.col("s_suppkey") % 2 == 0, "NSE").otherwise("BSE").alias("exchange"),
         (F.col("s_suppkey") + 1000).alias("instrument_token"),
@@ -77,19 +83,24 @@ def keep_first(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     return _first(df, key, order)
 
 
-def constituents(spark: SparkSession, path: str, kind: str = "BSE1000") -> DataFrame:
-    """A constituent list (kind BSE1000 or NIFTYTOTALMKT): trimmed codes and names, sector, name key; first row of each code."""
-    columns = {"BSE1000": ("Constituents", "Symbol", "Macro-Economic Sector"), "NIFTYTOTALMKT": ("Company Name", "Symbol", "Industry")}[kind]
+#: Name, code and sector columns of constituent lists by kind: lists of exchange codes, and lists of trading symbols.
+LISTS = {"BY_CODE": ("Constituents", "Symbol", "Macro-Economic Sector"), "BY_SYMBOL": ("Company Name", "Symbol", "Industry")}
+
+
+def constituents(spark: SparkSession, path: str, kind: str = "BY_CODE", tag: str | None = None) -> DataFrame:
+    """A constituent list of a kind in LISTS: trimmed codes and names, sector, name key, universe tag; first row of each code
+    in the order of files and of rows within them. A row without a code goes from lists of symbols."""
+    columns = LISTS[kind]
     df = _csv(spark, path)
     out = df.select(
         F.trim(F.col(f"`{columns[1]}`")).alias("security_code"),
         F.trim(F.col(f"`{columns[0]}`")).alias("company_name_raw"),
         F.trim(F.coalesce(F.col(f"`{columns[2]}`"), F.lit("Unclassified"))).alias("sector"),
         name_key(F.trim(F.col(f"`{columns[0]}`"))).alias("name_key"),
-        F.lit(kind).alias("universe"),
+        F.lit(tag or kind).alias("universe"),
         "__at",
     )
-    return _first(out.filter("security_code IS NOT NULL") if kind == "NIFTYTOTALMKT" else out, "security_code", "__at")
+    return _first(out.filter("security_code IS NOT NULL") if kind == "BY_SYMBOL" else out, "security_code", "__at")
 
 
 INSTRUMENTS = "tradingsymbol STRING, exchange_token STRING, instrument_token LONG, name STRING, instrument_type STRING, segment STRING"

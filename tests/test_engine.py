@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -61,8 +62,20 @@ def test_smoothing_matches_recursion(spark):
         got = column(b, name)
         assert [g is None for g in got] == expected.isna().tolist()
         assert all(abs(g - e) < 1e-9 for g, e in zip(got, expected, strict=True) if g is not None)
-    long = windows.smoothed_long(bars(spark, closes), "x", "close", 1 / 14, 14)
-    assert abs(column(long, "x")[-1] - column(b, "w")[-1]) < 1e-9
+
+
+def test_smoothing_of_long_series_and_of_series_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    closes = (100 + rng.normal(0, 1, 20_000).cumsum() * 0.1).tolist()
+    holes = [None if i < 5 or rng.random() < 0.2 or 700 < i < 760 else x for i, x in enumerate(closes)]
+    rows = [("A", i, x, y) for i, (x, y) in enumerate(zip(closes, holes, strict=True))]
+    df = spark.createDataFrame(rows, "security_code string, date int, close double, hole double")
+    spans = {"e9": windows.ema(C("close"), 9), "e12": windows.ema(C("close"), 12), "e26": windows.ema(C("close"), 26), "w14": windows.wilder(C("close"), 14), "slow": windows.ema(C("close"), 400), "h12": windows.ema(C("hole"), 12), "h14": windows.wilder(C("hole"), 14)}
+    got = windows.smoothed(df, spans).orderBy("date").toPandas()
+    for name, (_, alpha, need) in spans.items():
+        expected = pd.Series(holes if name[0] == "h" else closes, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=need).mean()
+        assert (got[name].isna() == expected.isna()).all(), name
+        assert (got[name] - expected).abs().max() < 1e-9, name
 
 
 def test_rsi_bounds_and_warm_up(spark):
