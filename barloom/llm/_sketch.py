@@ -11,9 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from barloom.llm._words import mix
 
 U = np.uint64
 BLOCK = 20
@@ -115,3 +119,19 @@ def repeated(bits: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
     for at in cells(keys, width):
         out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return out
+
+
+def among(keys: DataFrame, column: Column, max_bits: int = 1 << 27) -> Column:
+    """True where `column` (long) is in the only column of keys, nulls included, and for a few others: what is False needs
+    no join. A filter of bounded size is broadcast; past it more rows are True."""
+    width = width_for(keys.count() * 8, max_bits)
+    hashed = lambda ids: mix(ids.view(U))
+    whole = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63) + 1))
+    only = keys.select(whole(F.col(keys.columns[0])).alias("key"))
+    bits = build(only, lambda part: np.repeat(hashed(part.column(0).to_numpy(zero_copy_only=False)), 2), width)
+
+    @F.pandas_udf("boolean")
+    def ask(ids: pd.Series) -> pd.Series:
+        return pd.Series(repeated(bits.value, hashed(ids.to_numpy(np.int64)), width))
+
+    return ask(whole(column))

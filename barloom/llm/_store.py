@@ -14,10 +14,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lost executors cost nothing, and the files go when the frame is collected."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """A reliable checkpoint, in at most `parts` files: lost executors cost nothing. The files go when the frame is
+    collected, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
+
+    A checkpoint keeps Catalyst's size estimate, which multiplies with every join: over many rounds its digits alone take
+    minutes to multiply. Past 2^100 the frame is made anew from the checkpoint's rows, without an estimate."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
+    if int(str(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1 << 100:
+        done = DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+    return done
+
+
+def few(df: DataFrame) -> int:
+    """Partitions for frames that are much smaller than the input df, such as ids and pairs: one for every 16 MB of the
+    input, 4 at least, and no more than the session's shuffles have."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(4, input_bytes(df) >> 24))
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -45,8 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._components import components
-from barloom.llm._store import cut, input_bytes, text_batches
+from barloom.llm._components import components, spread_join
+from barloom.llm._store import cut, few, input_bytes, text_batches
 
 N = 5
 PERCENT = 80
@@ -58,7 +58,11 @@ NO_ID = (1 << 63) - 1
 HOLD_ROWS = 1 << 18
 CHUNK = 4096
 LEAF = 16
-JOB = 4000
+#: Shingles in a chunk of a job.
+JOB = 1 << 15
+SALT = 8
+#: Groups a shingle of the points that pairs are tested by before texts travel.
+PARITY = 4
 #: At most this many sets' components are broadcast (12 bytes each).
 ROOTS = 1 << 22
 U = np.uint64
@@ -95,6 +99,27 @@ FREQUENCY_BLOCK = 1 << 18
 COUNTS = np.round(np.exp2(np.arange(256) / 8) - 1).astype(np.int64)
 
 
+def _thin(part: np.ndarray) -> bytes:
+    """Counts in two bits each, those of 3 and more listed behind, compressed: most cells of a partition hold few."""
+    import zstandard
+
+    low, at = np.minimum(part, 3).astype(np.uint8), np.flatnonzero(part >= 3)
+    bits = low[0::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6
+    listed = np.diff(at, prepend=0).astype("<i4").tobytes() + part[at].astype("<u2").tobytes()
+    return zstandard.compress(np.array([len(at)], "<i4").tobytes() + bits.tobytes() + listed, 1)
+
+
+def _thick(raw: bytes, block: int, total: np.ndarray) -> None:
+    """Adds what `_thin` wrote to total."""
+    import zstandard
+
+    raw = zstandard.decompress(raw)
+    bits, n = np.frombuffer(raw, np.uint8, block // 4, 4), int(np.frombuffer(raw, "<i4", 1)[0])
+    for k in range(4):
+        total[k::4] += (bits >> (2 * k)) & 3
+    total[np.cumsum(np.frombuffer(raw, "<i4", n, 4 + block // 4))] += np.frombuffer(raw, "<u2", n, 4 + block // 4 + 4 * n).astype(np.int64) - 3
+
+
 def _measured(keyed: DataFrame, width: int) -> DataFrame:
     """One pass over the texts: rows (id, n, s1, s2) by document and rows (block, cells) by partition, the latter a
     two-row count-min sketch of how many sets have a shingle."""
@@ -107,8 +132,6 @@ def _measured(keyed: DataFrame, width: int) -> DataFrame:
             table[cell] = np.minimum(table[cell].astype(np.int64) + n, 65535).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         table = np.zeros(2 * width, np.uint16)
         held: list[np.ndarray] = []
         count = 0
@@ -130,8 +153,7 @@ def _measured(keyed: DataFrame, width: int) -> DataFrame:
             part = table[k : k + block]
             if part.any():
                 none = [pa.nulls(1, pa.int64()) for _ in range(4)]
-                raw = zstandard.compress((part if part.max() > 255 else part.astype(np.uint8)).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([*none, pa.array([k // block], pa.int32()), pa.array([raw], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.array([k // block], pa.int32()), pa.array([_thin(part)], pa.binary())], names)
 
     return cut(keyed.mapInArrow(run, "id long, n long, s1 long, s2 long, block int, cells binary"))
 
@@ -143,8 +165,6 @@ def _frequencies(measured: DataFrame, width: int) -> tuple[Broadcast, float]:
     spark, block = measured.sparkSession, min(FREQUENCY_BLOCK, 2 * width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         at, total = None, np.zeros(block, np.int64)
         for part in batches:
             for k, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -152,8 +172,7 @@ def _frequencies(measured: DataFrame, width: int) -> tuple[Broadcast, float]:
                     if at is not None:
                         yield row(at, total)
                     at, total = k, np.zeros(block, np.int64)
-                raw = zstandard.decompress(raw)
-                total += np.frombuffer(raw, np.uint8 if len(raw) == block else np.uint16)
+                _thick(raw, block, total)
         if at is not None:
             yield row(at, total)
 
@@ -368,17 +387,19 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _routed(text: DataFrame, measured: DataFrame, cells: int, parts: int) -> DataFrame:
+def _routed(keyed: DataFrame, reps: DataFrame, measured: DataFrame, cells: int, parts: int) -> DataFrame:
     """One row per bucket of trees, packed: tokens in runs, each with the place of its set in the bucket's list of
-    sets (sig, size, point, fine); tokens of one set are left out."""
-    guess = input_bytes(text)
+    sets (sig, size, point, fine); tokens of one set are left out. Of equal sets only the representative's rows (and
+    perhaps a few others) are read, so shingles that only equal sets share count as unique."""
+    guess = input_bytes(keyed)
+    chosen = _filter(reps.select(F.col("rep").alias("id")))
     frequency, noise = _frequencies(measured, cells)
-    width = _sketch.width_for(guess // 4, MAX_BITS)
+    width = _sketch.width_for(guess // 2, MAX_BITS)
 
     def firsts(part: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, U), *[_prefix(frequency.value, noise, s)[0] for s in _sets(part.column(0)) if len(s)]])
+        return np.concatenate([np.zeros(0, U), *[_prefix(frequency.value, noise, s)[0] for s in _sets(chosen(part).column(1)) if len(s)]])
 
-    seen = _sketch.build(text, firsts, width)
+    seen = _sketch.build(keyed, firsts, width)
     buckets = max(16, guess >> 25)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +425,7 @@ def _routed(text: DataFrame, measured: DataFrame, cells: int, parts: int) -> Dat
                 yield _packed(made[lo : lo + 64])
 
         for part in batches:
-            for s in _sets(part.column(0)):
+            for s in _sets(chosen(part).column(1)):
                 if not len(s):
                     continue
                 sig = _signature(s)
@@ -434,7 +455,7 @@ def _routed(text: DataFrame, measured: DataFrame, cells: int, parts: int) -> Dat
         if held:
             yield from out()
 
-    return cut(text.mapInArrow(route, _WIRE).repartition(min(4 * parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _WIRE))
+    return cut(keyed.mapInArrow(route, _WIRE).repartition(min(4 * parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _WIRE))
 
 
 def _arrays(raw: list[bytes]) -> tuple:
@@ -460,76 +481,113 @@ def _runs(token: np.ndarray, rows: int = 1 << 16) -> Iterator[slice]:
         lo = hi
 
 
-def _texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows (id, text) of docs whose id is among ends(id), and perhaps a few others: a filter of bounded size is broadcast."""
+def _filter(ends: DataFrame):
+    """A function that keeps the rows of a batch whose first column is among ends(id), and perhaps a few others; a filter of
+    bounded size is broadcast."""
     width = _sketch.width_for(ends.count() * 8, 1 << 27)
     keys = lambda ids: _words.mix(ids.to_numpy(zero_copy_only=False).view(U))
     wanted = _sketch.build(ends, lambda part: np.repeat(keys(part.column(0)), 2), width)
+    return lambda part: part.filter(pa.array(_sketch.repeated(wanted.value, keys(part.column(0)), width)))
+
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _both(pairs: DataFrame, parts: int) -> DataFrame:
+    """(id) of all ends of pairs(a, b)."""
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), parts)
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Counts of a set in at least PARITY groups a shingle, modulo 2, as bits; the number of groups is a power of two."""
+    groups = 1 << max(6, int(PARITY * len(s) - 1).bit_length())
+    odd = np.bincount((s >> U(8)).astype(np.int64) & (groups - 1), minlength=groups) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_bound(na: int, nb: int, x: bytes, y: bytes) -> int:
+    """The largest overlap that two sets' parities allow: halves of the longer one are folded by exclusive or first."""
+    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _possible(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(a, b) that still may link by the points of PARITY and more groups a shingle, about a tenth of the texts' size."""
+    parts = few(docs)
+    keep = _filter(_both(pairs, parts))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            part = keep(part)
+            got = [(len(s), parities(s)) for s in _sets(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], ["id", "n", "bits"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            yield part.filter(pa.array(_sketch.repeated(wanted.value, keys(part.column(0)), width)))
+            na, nb, x, y = (part.column(i).to_pylist() for i in range(2, 6))
+            ok = pa.array([parity_bound(*z) >= needed(*z[:2]) for z in zip(na, nb, x, y, strict=True)], pa.bool_())
+            yield part.select(["a", "b"]).filter(ok)
 
-    return docs.mapInArrow(keep, "id long, text string")
+    points = cut(docs.mapInArrow(sketch, "id long, n long, bits binary"))
+    both = pairs.join(points.toDF("a", "na", "xa").hint("merge"), "a").join(points.toDF("b", "nb", "xb").hint("merge"), "b")
+    return cut(both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(test, "a long, b long").coalesce(parts).distinct(), parts)
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of document ids whose sets link; a text travels once for each pair."""
-    some = _texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), docs)
-    left = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    both = left.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
+def _jobs(pairs: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """(job, a, b): pairs that documents connect share a job; a connected group of more than JOB shingles is dealt to
+    chunks by hash and its pairs to pairs of chunks, so a job holds about 2 * JOB shingles whatever the group."""
+    nodes = cut(components(pairs, parts).join(sizes, F.col("node") == F.col("id")).select("node", "root", "n"), parts)
+    large = nodes.groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > JOB).select("root", F.ceil(F.col("n") / JOB).alias("chunks"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    placed = nodes.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(large, ["root", "salt"], "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).alias("chunk")
+    # a hub has many pairs: its row is repeated under salts, its pairs are dealt to them by their other end
+    placed = placed.select("node", "root", chunk, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    by = lambda mine, other, name: (placed.select(F.col("node").alias(mine), F.col("salt"), F.col("root"), F.col("chunk").alias(name)), F.pmod(F.hash(other), F.lit(SALT)))
+    (at_a, salt_a), (at_b, salt_b) = by("a", "b", "ca"), by("b", "a", "cb")
+    both = pairs.withColumn("salt", salt_a).join(at_a, ["a", "salt"]).withColumn("salt", salt_b).join(at_b.drop("root"), ["b", "salt"])
+    return cut(both.select(F.xxhash64("root", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("job"), "a", "b"), parts)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of document ids whose sets link. Pairs that the finer points exclude are left out first; of the
+    others each text travels once to each job that has a pair with it."""
+    small = few(docs)
+    jobs = _jobs(_possible(pairs, docs), sizes, small)
+    members = cut(jobs.select("job", F.explode(F.array("a", "b")).alias("id")).distinct(), small)
+    keep = _filter(members.select("id").distinct())
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            a, b = (part.column(i).to_numpy() for i in (0, 1))
-            ok = np.zeros(len(a), bool)
-            for k, other in enumerate(_sets(part.column(3))):
-                if last != a[k]:
-                    last, mine = a[k], next(iter(_sets(part.column(2).slice(k, 1))))
-                ok[k] = _alike(mine, other)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-    return cut(both.mapInArrow(verify, "a long, b long").distinct())
-
-
-def _verified_together(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """As `_verified`, for dense pairs: documents that pairs connect are verified in one task, where each text travels
-    once; connected groups of more than JOB documents go pair by pair, so no task holds an unbounded group."""
-    job = cut(components(pairs).withColumnRenamed("root", "job"))
-    size = job.groupBy("job").agg(F.count(F.lit(1)).alias("size"))
-    joined = cut(pairs.join(job, F.col("a") == F.col("node")).drop("node").join(size, "job"))
-    small = joined.filter(F.col("size") <= JOB).select("job", "a", "b")
-    large = joined.filter(F.col("size") > JOB).select("a", "b")
-    members = cut(job.join(size, "job").filter(F.col("size") <= JOB).select(F.col("node").alias("id"), "job"))
-    texts = _texts(members.select("id"), docs).hint("merge").join(members, "id")
+            yield keep(part)
+
     none = F.lit(None)
-    rows = texts.select("job", F.col("id").alias("a"), none.cast("long").alias("b"), "text").unionByName(small.withColumn("text", none.cast("string")))
+    texts = docs.mapInArrow(wanted, "id long, text string").hint("merge").join(members, "id").select("job", F.col("id").alias("a"), none.cast("long").alias("b"), "text")
+    rows = texts.unionByName(jobs.withColumn("text", none.cast("string")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for part in batches:
-            jobs, a, b = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
+            job, a, b = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
             sets = _sets(part.column(3))
             found = []
             for k in range(len(a)):
                 s = next(sets)
-                if jobs[k] != now:
-                    now, held = jobs[k], {}
+                if job[k] != now:
+                    now, held = job[k], {}
                 if b[k] is None:
-                    held[a[k]] = s
-                elif a[k] in held and b[k] in held and _alike(held[a[k]], held[b[k]]):
+                    held.setdefault(a[k], []).append(s)
+                elif any(_alike(x, y) for x in held.get(a[k], ()) for y in held.get(b[k], ())):
                     found.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "job").sortWithinPartitions("job", F.col("b").isNotNull())
-    out = cut(dealt.select("job", "a", "b", "text").mapInArrow(verify, "a long, b long"))
-    return out if large.isEmpty() else out.unionByName(_verified(large, docs))
+    return cut(dealt.select("job", "a", "b", "text").mapInArrow(verify, "a long, b long").distinct(), small)
 
 
 def _roots(known: DataFrame) -> Broadcast:
@@ -568,10 +626,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     cells = _sketch.width_for(input_bytes(docs) // 8, FREQUENCY_CELLS)
+    small = few(docs)
     measured = _measured(keyed, cells)
     sets = measured.filter("block IS NULL").select("id", "n", "s1", "s2")
-    reps = cut(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
-    routed = _routed(keyed.select("text"), measured, cells, parts)
+    reps = cut(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), small)
+    weights = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    routed = _routed(keyed, reps, measured, cells, parts)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -589,16 +649,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "r").filter("a <> b")
         return x.groupBy("a", "b").agg(F.max("r").alias("r"))
 
-    near = cut(routed.mapInArrow(nearest, "s long, t long, r double").groupBy("s", "t").agg(F.max("r").alias("r")))
-    first = cut(to_ids(near))
+    near = cut(routed.mapInArrow(nearest, "s long, t long, r double").groupBy("s", "t").agg(F.max("r").alias("r")), small)
+    first = cut(to_ids(near), small)
     hub = to_ids(near.groupBy("t").agg(F.min("s").alias("s"), F.lit(0.0).alias("r")))
     # verified first: each document's best pair over all trees, and its pair with the least set it met
     end = F.explode(F.array("a", "b")).alias("id")
     best = first.select("a", "b", "r", end).groupBy("id").agg(F.max(F.struct("r", "a", "b")).alias("p")).select("p.a", "p.b").union(hub.select("a", "b")).distinct()
-    linked = _verified(cut(best), keyed)
-    root = cut(components(linked))
+    best = cut(best, small)
+    linked = _verified(best, keyed, weights)
+    root = cut(components(linked, small), small)
     rooted = F.coalesce("root", "rep")
-    known = cut(reps.join(root, F.col("rep") == F.col("node"), "left").groupBy("s1").agg(F.min(rooted).alias("root"), F.max(rooted).alias("last"), F.count("root").alias("n")))
+    known = cut(reps.join(root, F.col("rep") == F.col("node"), "left").groupBy("s1").agg(F.min(rooted).alias("root"), F.max(rooted).alias("last"), F.count("root").alias("n")), small)
     together = _roots(known.filter("root = last AND n > 0").select("s1", "root"))
     known = known.select("s1", "root")
 
@@ -612,10 +673,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 still = np.zeros(len(token), bool)
                 for x in _runs(token):
                     k = at[x]
-                    r, part_still = root[k], still[x]
-                    for a, b, _ in _search(token[x], size.astype(np.int64)[k], pt[k], fine[k]):
+                    r, new = root[k], np.ones(len(k), bool)
+                    new[1:] = token[x][1:] != token[x][:-1]
+                    open_ = np.flatnonzero(_groups_with(token[x], (r < 0) | (r != r[np.flatnonzero(new)][np.cumsum(new) - 1])))
+                    k, r, part_still = k[open_], r[open_], np.zeros(len(open_), bool)
+                    for a, b, _ in _search(token[x][open_], size.astype(np.int64)[k], pt[k], fine[k]):
                         apart = (r[a] != r[b]) | (r[a] < 0)
                         part_still[a[apart]] = part_still[b[apart]] = True
+                    still[x.start + open_[part_still]] = True
                 token, at = token[still], at[still]
                 if not len(token):
                     continue
@@ -688,8 +753,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield _pair_batch(pairs[:, 0], pairs[:, 1])
 
     second = opened.join(rooted, "bucket").mapInArrow(rest, "s long, t long").distinct().withColumn("r", F.lit(0.0))
-    second = cut(to_ids(second).join(best, ["a", "b"], "left_anti").select("a", "b"))
-    all_links = linked if second.isEmpty() else linked.unionByName(_verified_together(second, keyed))
+    second = cut(to_ids(second.coalesce(small)).join(best, ["a", "b"], "left_anti").select("a", "b"), small)
+    all_links = linked if second.isEmpty() else linked.unionByName(_verified(second, keyed, weights))
     rows = sets.join(reps, ["s1", "s2", "n"], "left").select("id", "n", "rep")
     return rows, all_links
 
@@ -697,7 +762,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows, found = links(docs)
-    root = components(found).withColumnRenamed("node", "rep")
+    root = components(found, few(docs)).withColumnRenamed("node", "rep")
     joined = rows.join(root, "rep", "left")
     back = lambda c: F.when(c < F.lit(NO_ID), c)
     return joined.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "rep", "id")).alias("component_id"))
@@ -705,14 +770,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the least doc_id (null as the largest; then any, the same in every
-    run); every column stays. Rows are told by a 64-bit hash of doc_id and text, so null and repeated ids join nothing."""
+    run); every column stays. Rows are told by a 64-bit hash of doc_id and text, so null and repeated ids join nothing;
+    rows that a filter of the dropped hashes doesn't know aren't shuffled."""
     doc_id = F.col("doc_id").cast("long")
     node = F.least(F.xxhash64(doc_id, F.col("text").cast("string")), F.lit(NO_ID - 1))
     found = classes(docs.withColumn("doc_id", node)).filter("doc_id <> component_id")
     member = cut(found.select(F.col("doc_id").alias("__node"), "component_id").distinct())
     member = member.union(member.select("component_id", "component_id").distinct())
-    rows = docs.select(doc_id.alias("__gone"), node.alias("__node")).join(member, "__node").distinct()
+    rows = cut(docs.select(doc_id.alias("__gone"), node.alias("__node")).join(member, "__node").distinct())
     order = F.struct(F.col("__gone").isNull(), "__gone", "__node")
-    least = rows.groupBy("component_id").agg(F.min(order).getField("__node").alias("least"))
-    gone = rows.join(least, "component_id").filter("__node <> least").select("__gone", "__node")
-    return docs.join(gone, doc_id.eqNullSafe(F.col("__gone")) & (node == F.col("__node")), "left_anti")
+    least = rows.groupBy("component_id").agg(F.min(order).getField("__node").alias("least"), F.count(F.lit(1)).alias("w"))
+    gone = cut(spread_join(rows, least, "component_id", "w").filter("__node <> least").select("__gone", "__node"))
+    may_go = _sketch.among(gone.select("__node"), node)
+    left = docs.filter(may_go).join(gone, doc_id.eqNullSafe(F.col("__gone")) & (node == F.col("__node")), "left_anti")
+    return docs.filter(~may_go).unionByName(left)
