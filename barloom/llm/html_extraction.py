@@ -3,7 +3,7 @@
 Pass 1 parses each page into a tree, scores its containers (text mass outside boilerplate, less links, by
 kind of tag) and writes its best three as votes on generalised tag-class paths: tags with their class names,
 digits folded, positions and ids left out. Spark sums the votes by host and path (pre-aggregated, so a hot
-host costs no more than its distinct paths) and ranks each host's paths. Pass 2 parses the pages again
+host costs no more than its distinct paths) and ranks each host's paths, first within salted parts of a host. Pass 2 parses the pages again
 and takes the text under the host's best path that the page has, less boilerplate; a page that has none
 of them falls back on its own best container.
 
@@ -12,13 +12,15 @@ no-break spaces and <br>) becomes one space, blank blocks go, and blocks are joi
 
 Defined results: null and empty html, and pages without text, give an empty text; a null url is the host ''; a
 broken page is read as far as its tags make sense (unclosed tags close with their parent, stray
-closing tags are ignored); repeated rows vote and are extracted one by one; an empty table gives no rows.
+closing tags are ignored; once a quote in a tag isn't closed before the page ends, quotes no longer hide a
+'>'); a page is read in time linear in its length; repeated rows vote and are extracted one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
@@ -27,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._store import cut, text_batches
+from barloom.llm._components import spread_join
+from barloom.llm._store import text_batches
 
 VOTES = 3
 PATHS = 5
+SALT = 32
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+#: Groups: slash, name, attributes. With quotes that hide '>', and without.
+TOKEN, PLAIN = (
+    re.compile(rf"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)({attributes})>|[^<]++|<""", re.S) for attributes in (r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", "[^>]*+")
+)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
@@ -90,7 +97,9 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, links = [0], 0
-        opened: Counter[str] = Counter()  # elements on the stack by tag
+        where: dict[str, list[int]] = defaultdict(list)  # places on the stack by tag
+        blocks, scopes = [0], [0]  # places of tags that aren't inline, and of those that end the search for siblings
+        unclosed: set[str] = set()
         held: list[str] = []
         linked = 0
 
@@ -99,13 +108,33 @@ class Page:
             if held:
                 text = " ".join(unescape("".join(held)).split())
                 if text:
-                    at = next((n for n in reversed(stack) if self.tag[n] not in INLINE), 0)
-                    self.blocks.append((at, text, min(len(text), linked)))
+                    self.blocks.append((stack[blocks[-1]], text, min(len(text), linked)))
                 held, linked = [], 0
 
-        at, end = 0, len(html)
+        def close(place: int) -> None:
+            """Takes all from this place on off the stack."""
+            nonlocal links
+            while len(stack) > place:
+                gone = self.tag[stack.pop()]
+                where[gone].pop()
+                links -= gone == "a"
+            while blocks[-1] >= place:
+                blocks.pop()
+            while scopes[-1] >= place:
+                scopes.pop()
+
+        at, end, last, token = 0, len(html), html.rfind(">"), TOKEN
         while at < end:
-            m = TOKEN.match(html, at)
+            if at > last:  # no tag can follow
+                text = html[at:].partition("<!--")[0]
+                held.append(text)
+                if links:
+                    linked += len(text.strip())
+                break
+            m = token.match(html, at)
+            if m[0] == "<" and token is TOKEN and html[at + 1 : at + 2].isascii() and html[at + 1 : at + 2].isalpha():
+                token = PLAIN
+                m = token.match(html, at)
             at = m.end()
             name = m[2]
             if name is None:
@@ -117,9 +146,11 @@ class Page:
                 continue
             tag = name.lower()
             if tag in RAW:
-                if not m[1] and not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = close.end() if close else end if tag in ("script", "style") else at
+                if not m[1] and not m[3].endswith("/") and tag not in unclosed:
+                    shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if not shut:
+                        unclosed.add(tag)
+                    at = shut.end() if shut else end if tag in ("script", "style") else at
                 continue
             if tag == "br":
                 held.append(" ")
@@ -129,42 +160,27 @@ class Page:
             if tag in VOID:
                 continue
             if m[1]:
-                if opened[tag]:
-                    if tag in INLINE and any(self.tag[n] not in INLINE for n in stack[len(stack) - 1 - self._back(stack, tag) :][1:]):
-                        continue  # an inline tag doesn't close blocks
-                    while len(stack) > 1:
-                        gone = self.tag[stack.pop()]
-                        opened[gone] -= 1
-                        links -= gone == "a"
-                        if gone == tag:
-                            break
+                if where[tag] and (tag not in INLINE or where[tag][-1] > blocks[-1]):  # an inline tag doesn't close blocks
+                    close(where[tag][-1])
                 continue
             if tag not in INLINE:
-                links -= self._close_implied(tag, stack, opened)
+                ends = CLOSES.get(tag)
+                if ends:  # siblings such as li before li, up to the list or table they belong to
+                    least = [w[k] for w in (where[t] for t in (*ends, "p")) if (k := bisect_right(w, scopes[-1])) < len(w)]
+                    if least:
+                        close(min(least))
+                elif self.tag[stack[blocks[-1]]] == "p":
+                    close(blocks[-1])
+            place = len(stack)
             stack.append(self._open(tag, m[3], stack))
-            opened[tag] += 1
+            where[tag].append(place)
+            if tag not in INLINE:
+                blocks.append(place)
+                if tag in SCOPES:
+                    scopes.append(place)
             links += tag == "a"
         flush()
 
-    def _back(self, stack: list[int], tag: str) -> int:
-        return next(k for k, n in enumerate(reversed(stack)) if self.tag[n] == tag)
-
-    def _close_implied(self, tag: str, stack: list[int], opened: Counter[str]) -> int:
-        """Closes an open paragraph before a block, and siblings such as li before li; the number of links closed."""
-        gone = 0
-        ends = CLOSES.get(tag, ())
-        k = len(stack) - 1
-        while k > 0:
-            open_tag = self.tag[stack[k]]
-            if open_tag == "p" or open_tag in ends:
-                gone += sum(self.tag[n] == "a" for n in stack[k:])
-                opened.subtract(self.tag[n] for n in stack[k:])
-                del stack[k:]
-            elif open_tag not in INLINE and not (ends and open_tag not in SCOPES):
-                break
-            k -= 1
-        return gone
-
     def _lift(self) -> None:
         """Boilerplate is what lies under a dropped node, unless an article or main lies inside that; then masses by node."""
         n = len(self.tag)
@@ -235,8 +251,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["__host", "path", "vote"])
 
     votes = _hosted(pages).select("__host", "html").mapInArrow(vote, "__host string, path string, vote long").groupBy("__host", "path").agg(F.sum("vote").alias("votes"))
-    w = Window.partitionBy("__host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path")
-    ranked = votes.withColumn("rank", F.row_number().over(w)).withColumn("most", F.max("votes").over(Window.partitionBy("__host")))
+    order = [F.desc("votes"), F.desc(F.length("path")), "path"]
+    part = Window.partitionBy("__host", F.pmod(F.hash("path"), F.lit(SALT))).orderBy(*order)  # of a hot host's paths the best of each part
+    some = votes.withColumn("rank", F.row_number().over(part)).filter(f"rank <= {PATHS}")
+    w = Window.partitionBy("__host").orderBy(*order)
+    ranked = some.withColumn("rank", F.row_number().over(w)).withColumn("most", F.max("votes").over(Window.partitionBy("__host")))
     good = ranked.filter(f"rank <= {PATHS} AND 10 * votes >= most")
     return good.groupBy("__host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
 
@@ -250,7 +269,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([p for _, p in got], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 
     text_batches(pages.sparkSession)
-    paths = cut(host_paths(pages))
+    hosted = _hosted(pages)
+    hosts = hosted.groupBy("__host").agg(F.count(F.lit(1)).alias("pages")).join(host_paths(pages), "__host", "left")
     kinds = dict(pages.dtypes)
-    joined = _hosted(pages).join(paths, "__host", "left").select("page_id", "url", "html", "paths")
+    joined = spread_join(hosted, hosts, "__host", "pages").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, path string")
