@@ -4,7 +4,8 @@ Texts are equal when they agree after lower-casing A-Z; SHA-256 of that text sta
 are read once: (doc_id, digest) rows are cut to a checkpoint, about 50 bytes a document. Pass 1 writes
 each partition's digests as sorted filter positions, merged by filter block into a filter of the
 positions that were hit twice. Pass 2 asks the filter: rows that no other row can equal pass straight
-through; only the possibly repeated ones are shuffled, pre-aggregated by digest, and joined back.
+through; only the possibly repeated ones are shuffled, pre-aggregated by digest, and joined back; a digest that
+many rows have is broadcast to them instead.
 
 The filter has at most `max_bits` bits for each of two hash rows (16 MiB each by default), so what is
 broadcast is bounded. Past about max_bits / 8 documents more rows are called "possibly repeated" and
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import _sketch
+from barloom.llm._components import spread_join
 from barloom.llm._store import cut, text_batches
 
 MAX_BITS = 1 << 27
@@ -79,17 +81,20 @@ def mark(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     asked = cut(rows.mapInArrow(ask, "doc_id long, text_sha256 string, maybe boolean"))
     alone = asked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = asked.filter("maybe").select("doc_id", "text_sha256")
-    best = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = some.join(best, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    best = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("rows"))
+    joined = spread_join(some, best, "text_sha256", "rows").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 
 
 def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that `mark` drops, columns unchanged.
 
-    The dropped rows are joined against the documents by doc_id and digest, as a null or repeated doc_id may also stand
-    on a text that stays; rows that no other text shares stay out of the join's build side.
+    Only rows with the doc_id of a dropped one are shuffled, to be joined by doc_id and digest, as a null or repeated doc_id
+    may also stand on a text that stays; a filter of the dropped ids lets all other rows pass straight through.
     """
-    gone = mark(docs, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sum")).distinct()
+    text_batches(docs.sparkSession)
+    gone = cut(mark(docs, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sum")).distinct())
+    may_go = _sketch.among(gone.select("__gone"), F.col("doc_id"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__sum"))
-    return _with_digest(docs).join(gone, same, "left_anti").drop("__digest")
+    left = _with_digest(docs.filter(may_go)).join(gone, same, "left_anti").drop("__digest")
+    return docs.filter(~may_go).unionByName(left)
