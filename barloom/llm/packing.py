@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +28,8 @@ from barloom.llm._store import text_batches
 
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 200_000
+#: Words held in each of two generations by a Python worker, about 150 bytes each.
+CACHE = 300_000
 SIGNS = "#*$%&|<>.,!?;:"
 
 
@@ -45,13 +47,18 @@ class _Words(dict):
 
     def __init__(self, encode, letters) -> None:
         super().__init__()
-        self.encode, self.letters, self.tails = encode, letters, {}
+        self.encode, self.letters, self.tails, self.old = encode, letters, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
             raise LookupError
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # words still in use come back from the older generation
+            self.old = dict(self)
             self.clear()
+        ids = self.old.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
         head = word.rstrip(SIGNS)
         if head.isalpha() and max(head) < "\u0250":  # letters, then signs: two pre-tokens
             ids = self[head] + self.tail(word[len(head) :]) if len(head) < len(word) else self.letters(word)
@@ -86,7 +93,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize, self.bytes = self.tokenizer.model.tokenize, _byte_letters()
         self.words = _Words(self.whole, self.letters)
 
@@ -99,6 +106,8 @@ class Encoder:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.special):  # one id wherever it stands
+            return self.whole(text)
         parts = text.split(" ")
         try:
             return self.whole(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:])) if len(parts) > 1 else self.whole(text)
@@ -112,15 +121,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def decompose(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
-    """(start, length) pieces of n ids: whole pieces of `most`, then the binary digits of the rest."""
-    out = [(i, most) for i in range(0, n - n % most, most)]
-    at, rest = n - n % most, n % most
-    while rest:
-        size = 1 << (rest.bit_length() - 1)
-        out.append((at, size))
-        at, rest = at + size, rest - size
-    return out
+def decompose(totals: np.ndarray, most: int = MAX_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of these lengths, in order: whole pieces of `most`, then the
+    binary digits of the rest, highest first."""
+    whole, rest = totals // most, totals % most
+    count = whole + np.bitwise_count(rest)
+    first = np.cumsum(count) - count
+    length = np.full(int(count.sum()), most, np.int64)
+    for bit in range(most.bit_length() - 2, -1, -1):
+        docs = np.flatnonzero((rest >> bit) & 1)
+        length[first[docs] + whole[docs] + np.bitwise_count(rest[docs] >> (bit + 1))] = 1 << bit
+    doc = np.repeat(np.arange(len(totals)), count)
+    start = np.cumsum(length) - length
+    return doc, start - (np.cumsum(totals) - totals)[doc], length
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -142,27 +155,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        kinds = [pa.int64()] * 7 + [pa.int32()] + [pa.binary()] * with_ids
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids
-        rows: list[tuple] = []
         for part in batches:
-            ids, texts = part.column(0).to_pylist(), part.column(1)
-            for k, doc in enumerate(ids):
-                coded = encode(texts[k].as_py() or "") + end
-                total = len(coded) // 4
-                for start, length in decompose(total, max_tokens):
-                    piece = coded[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(piece), total, number, 0, length.bit_length() - 1) + (piece,) * with_ids)
-                    number += 1
-                if len(rows) >= 4096:
-                    yield batch(rows)
-                    rows = []
-        if rows:
-            yield batch(rows)
+            for lo in range(0, part.num_rows, 256):
+                some = part.slice(lo, 256)
+                coded = [encode(text.as_py() or "") + end for text in some.column(1)]
+                totals = np.array([len(x) // 4 for x in coded], np.int64)
+                doc, start, length = decompose(totals, max_tokens)
+                pieces = [coded[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                crc = pa.array([zlib.crc32(x) for x in pieces], pa.int64())
+                sequence = number + np.arange(len(doc))
+                number += len(doc)
+                bucket = np.bitwise_count(length - 1).astype(np.int32)
+                cols = [some.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), crc, pa.array(totals[doc]), pa.array(sequence), pa.array(np.zeros(len(doc), np.int64)), pa.array(bucket)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(pieces, pa.binary())] * with_ids, names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 

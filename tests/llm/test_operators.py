@@ -87,7 +87,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     frame = edge(spark).unionByName(docs(spark, ["it's  x\xa0 y z  1²", "  a   b ", "<|endoftext|> b", "\x1c \x1c a"], [90, 91, 92, 93]))
     rows = packing.pack(frame, with_ids=True).collect()
     want = Counter((r.doc_id, tuple(t.encode(r.text or "", add_special_tokens=False).ids + [0])) for r in frame.collect())
@@ -99,16 +98,26 @@ def test_packing_round_trip(spark):
     assert len({r.sequence_id for r in rows}) == len(rows)
     for (doc, ids), n in want.items():
         mine = [p for p in parts[doc] if p[2] == len(ids)]
-        assert len(mine) == n * len(packing.decompose(len(ids)))
+        assert len(mine) == n * (len(ids) // 1024 + (len(ids) % 1024).bit_count())
         assert sum((p[1] for p in sorted(set(mine))), ()) == ids
     assert packing.pack(docs(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 5000])
 def test_decomposition(n):
-    pieces = packing.decompose(n)
-    assert sum(size for _, size in pieces) == n and all(size & (size - 1) == 0 and size <= 1024 for _, size in pieces)
-    assert [s for s, _ in pieces] == [sum(size for _, size in pieces[:k]) for k in range(len(pieces))]
+    doc, starts, lengths = packing.decompose(np.array([n, 3, n]))
+    for d, total in enumerate((n, 3, n)):
+        pieces = [(s, size) for x, s, size in zip(doc.tolist(), starts.tolist(), lengths.tolist(), strict=True) if x == d]
+        assert sum(size for _, size in pieces) == total and all(size & (size - 1) == 0 and size <= 1024 for _, size in pieces)
+        assert [s for s, _ in pieces] == [sum(size for _, size in pieces[:k]) for k in range(len(pieces))]
+        assert [size for _, size in pieces] == sorted((size for _, size in pieces), reverse=True)
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    packing.write_buckets(packing.pack(edge(spark), with_ids=True), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert Counter(r.length for r in back) == Counter(r.length for r in packing.pack(edge(spark)).collect())
+    assert all(r.length == 1 << r.bucket and len(r.ids) == 4 * r.length for r in back)
 
 
 # --- 2
