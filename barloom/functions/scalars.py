@@ -36,6 +36,16 @@ def token_prefix(a: Column, b: Column) -> Column:
     return (n >= 2) & (F.slice(x, 1, n) == F.slice(y, 1, n))
 
 
+def slug(x: Column) -> Column:
+    """Lower case, runs of other characters than letters and digits as one underscore, none at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def cut(x: Column, n: int = 32) -> Column:
+    """At most n characters; NULL as empty."""
+    return F.substring(F.coalesce(x, F.lit("")), 1, n)
+
+
 def quote_symbol(symbol: Column, exchange: Column) -> Column:
     """The quote service's symbol: .NS for NSE and by default, .BO for BSE."""
     return F.concat(symbol, F.when(exchange == "BSE", ".BO").otherwise(".NS"))

@@ -58,6 +58,12 @@ def windows(bars: DataFrame, cfg: Settings) -> DataFrame:
     return out.select(*key, "anchor_date", "anchor_price", "window_date", "days_to_window", "level_up", "level_down", C("s.d").alias("signal_date"), C("s.h").alias("signal_high"), C("s.lo").alias("signal_low"), verdict.alias("confirmation"))
 
 
+def split(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(upcoming by days to their window, past ones latest first)."""
+    ahead = C("confirmation") == "upcoming"
+    return windows.filter(ahead).orderBy("days_to_window", "security_code"), windows.filter(~ahead).orderBy(F.desc("window_date"), "security_code")
+
+
 def panel(bars: DataFrame, dims: DataFrame, cfg: Settings) -> DataFrame:
     from barloom.operators.scan import named
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import token_prefix
@@ -107,5 +109,23 @@ def combine(*mappings: DataFrame) -> DataFrame:
     return first.join(tags, "__k").withColumn("universe", F.when(C("resolved"), C("__tags")).otherwise(C("universe"))).drop("__k", "__at", "__n", "__tags")
 
 
+def resolved(mapping: DataFrame) -> DataFrame:
+    return mapping.filter("resolved")
+
+
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The mapping stored at path (Parquet); built and written there first if there is none, or to refresh it."""
+    from pyspark.errors import AnalysisException
+
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def low_confidence(mapping: DataFrame, below: float = 0.9) -> DataFrame:
     return mapping.filter(C("resolved") & (C("match_confidence") < below))

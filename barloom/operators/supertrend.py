@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import smoothed, wilder
-from barloom.operators.indicators import true_range
+from barloom.operators.indicators import tail, true_range
 
 
 def bands(bars: DataFrame, period: int, multiplier: float) -> DataFrame:
@@ -42,6 +42,14 @@ def latest(bars: DataFrame, period: int = 10, multiplier: float = 3.0, flip_with
     return out.select("security_code", F.col("s.line").alias("supertrend"), F.coalesce(~F.col("s.upper"), F.lit(False)).alias("supertrend_bullish"), F.coalesce(F.col("s.since") < flip_within, F.lit(False)).alias("supertrend_flip_recent"))
 
 
+def chart(bars: DataFrame, n: int = 150, period: int = 10, multiplier: float = 3.0) -> DataFrame:
+    """What a chart of the last n bars shows: prices, volume, and Supertrend as a bullish and a bearish line."""
+    s = series(bars, period, multiplier).select("security_code", "date", "supertrend", "supertrend_bullish")
+    last = tail(bars, n).join(s, ["security_code", "date"])
+    side = lambda up: F.when(F.col("supertrend_bullish") == F.lit(up), F.col("supertrend"))
+    return last.withColumns({"supertrend_up": side(True), "supertrend_down": side(False)}).drop("supertrend", "supertrend_bullish")
+
+
 def series(bars: DataFrame, period: int = 10, multiplier: float = 3.0, flip_within: int = 3) -> DataFrame:
     """security_code, date, supertrend, supertrend_bullish, supertrend_flip_recent of every bar, one security at a time."""
     import numpy as np

@@ -65,11 +65,12 @@ METRICS = {"pct_below_pivot": 1, "pct_from_pivot": 1, "atr_pct_chg20": 2, "bb_wi
 def evaluate(bars: DataFrame, cfg: Settings, timeframes: tuple[str, ...] = TIMEFRAMES) -> DataFrame:
     """One row per security and timeframe: availability, flags and rounded metrics of the last bar."""
     surge = cfg["filters"]["volume"]["surge_multiplier"]
-    have = stacked(bars, timeframes).groupBy(*KEY).agg(F.count(F.lit(1)).alias("bars_available"))
-    last = snapshot(prepared(bars, cfg, timeframes), KEY)
+    every = precursors(enrich(stacked(bars, timeframes), cfg, None, KEY), cfg, *KEY)
+    last = snapshot(every.withColumn("bars_available", F.count(F.lit(1)).over(Window.partitionBy(*KEY))), KEY)
     fresh = F.coalesce(C("donchian_breakout") & (C("volume_surge") >= surge), F.lit(False))
-    last = last.select(*KEY, fresh.alias("is_fresh_breakout"), "is_watch", *[F.round(c, d).alias(c) for c, d in METRICS.items()])
-    return have.join(last, list(KEY), "left").withColumn("insufficient_data", C("bars_available") < MIN_BARS)
+    flags = {"is_fresh_breakout": fresh, "is_watch": C("is_watch")} | {c: F.round(c, d) for c, d in METRICS.items()}
+    few = C("bars_available") < MIN_BARS
+    return last.select(*KEY, "bars_available", *[F.when(~few, x).alias(n) for n, x in flags.items()], few.alias("insufficient_data"))
 
 
 def radar(bars: DataFrame, dims: DataFrame, cfg: Settings, timeframes: tuple[str, ...] = TIMEFRAMES) -> DataFrame:
@@ -90,6 +91,11 @@ def radar_tiers(r: DataFrame) -> DataFrame:
     return r.withColumn("radar_tier", F.when(C("breakout_timeframes") != "", "fresh").when(C("watch_timeframes") != "", "watch"))
 
 
+def radar_ranked(r: DataFrame) -> DataFrame:
+    """Most timeframes on watch first; ties by security."""
+    return r.orderBy(F.desc("n_watch_timeframes"), "security_code")
+
+
 def forward_high(n: int, *key: str) -> Column:
     """The highest high of the next n bars, where all n exist."""
     return full(F.max, C("high"), 1, n, None, *key)

@@ -726,6 +726,60 @@ def _(spark, sf_dir):
     return tables.universe(spark, sf_dir).select("security_code", scalars.quote_symbol(C("tradingsymbol"), C("exchange")).alias("quote_symbol"))
 
 
+@query("p03_resolved", "SELECT 'S' || p_partkey AS security_code, p_partkey + 2000000 AS instrument_token FROM part WHERE p_partkey % 3 <> 0")
+def _(spark, sf_dir):
+    u, _, nse = dumps(spark, sf_dir)
+    return mapping.resolved(mapping.by_symbol(u.withColumn("security_code", F.concat(F.lit("S"), "security_code")), nse)).select("security_code", "instrument_token")
+
+
+@query("p04_low_confidence", "SELECT 'S' || p_partkey AS security_code, CAST(p_size / 50.0 AS DOUBLE) AS match_confidence FROM part WHERE p_partkey % 3 <> 0 AND p_size / 50.0 < 0.9")
+def _(spark, sf_dir):
+    u, _, nse = dumps(spark, sf_dir)
+    m = mapping.by_symbol(u.withColumn("security_code", F.concat(F.lit("S"), "security_code")), nse)
+    size = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("S"), "p_partkey").alias("security_code"), (C("p_size") / 50.0).alias("match_confidence"))
+    return mapping.low_confidence(m.drop("match_confidence").join(size, "security_code")).select("security_code", "match_confidence")
+
+
+@query("p09_radar_tiers", f"""{_RADAR}, {_EVALUATED} SELECT security_code, CASE WHEN count_if(is_fresh_breakout) > 0 THEN 'fresh' WHEN count_if(is_watch) > 0 THEN 'watch' END AS radar_tier FROM ev GROUP BY ALL""")
+def _(spark, sf_dir):
+    return timeframes.radar_tiers(timeframes.radar_ranked(timeframes.radar(bars(spark, sf_dir), tables.universe(spark, sf_dir), CFG))).select("security_code", "radar_tier")
+
+
+@query("p10_cycle_split", f"{_CY} SELECT security_code, anchor_type, angle_degrees, window_date, window_date > today + 3 AS upcoming FROM gw")
+def _(spark, sf_dir):
+    ahead, past = cycles.split(cycles.windows(bars(spark, sf_dir), CFG))
+    part = lambda df, x: df.select("security_code", "anchor_type", "angle_degrees", "window_date", F.lit(x).alias("upcoming"))
+    return part(ahead, True).unionByName(part(past, False))
+
+
+@query("a17_instrument_types", "SELECT p_type AS instrument_type, count(*) AS n FROM part GROUP BY p_type")
+def _(spark, sf_dir):
+    return tables.instrument_types(spark.read.parquet(f"{sf_dir}/part.parquet").select(C("p_type").alias("instrument_type")))
+
+
+@query(
+    "s20_chart",
+    f"""{_ST} SELECT b.security_code, b.date, b.close, CASE WHEN supertrend_bullish THEN round(supertrend, 3) + 0.0 END AS supertrend_up, CASE WHEN NOT supertrend_bullish THEN round(supertrend, 3) + 0.0 END AS supertrend_down
+    FROM bars b JOIN st USING (security_code, date) QUALIFY row_number() OVER (PARTITION BY b.security_code ORDER BY b.date DESC) <= 150""",
+)
+def _(spark, sf_dir):
+    c = supertrend.chart(bars(spark, sf_dir))
+    return c.select("security_code", "date", "close", *rounded(c, ["supertrend_up", "supertrend_down"], 3))
+
+
+@query("x08_slug_and_cut", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, substring(p_type, 1, 12) AS short FROM part")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", scalars.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"), scalars.cut(C("p_type"), 12).alias("short"))
+
+
+@query("x13_json", """SELECT s_suppkey AS security_code, s_acctbal AS "marketCap", CAST(NULL AS DOUBLE) AS "trailingPE" FROM supplier""")
+def _(spark, sf_dir):
+    """Quote info as stored: to JSON text in base 64 and back, by schema."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(C("s_suppkey").alias("security_code"), F.base64(F.to_json(F.struct(C("s_acctbal").alias("marketCap")))).alias("text"))
+    return s.withColumn("info", F.from_json(F.unbase64("text").cast("string"), tables.QUOTE)).select("security_code", "info.marketCap", "info.trailingPE")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked, explained screen."""
     return scan.ranked(scanned(spark, sf_dir).result)

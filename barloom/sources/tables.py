@@ -113,6 +113,11 @@ def instruments(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return df.filter("instrument_type = 'EQ'").withColumn("name_key", name_key(F.col("name")))
 
 
+def instrument_types(dump: DataFrame) -> DataFrame:
+    """How many instruments a dump has of each type."""
+    return dump.groupBy("instrument_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def benchmark_token(dump: DataFrame, symbol: str) -> int:
     """The token of an index; an error if there is none."""
     found = dump.filter((F.col("tradingsymbol") == symbol) & (F.col("segment") == "INDICES")).select("instrument_token").head()
@@ -184,11 +189,28 @@ def read_state(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFra
 
 
 def write_state(df: DataFrame, home: str, version: int) -> str:
-    """Writes one version of a state table in a folder of its own; readers switch by path."""
+    """Writes one version of a state table in a folder of its own. A version that exists is an error, so of two writers
+    that read the same version one fails and has to read again."""
     path = f"{home}/v{version:06d}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
+def latest_state(spark: SparkSession, home: str, kinds: dict[str, str]) -> tuple[DataFrame, int]:
+    """(the last version of a state table, its number); an empty table and 0 where there is none. The files of a version
+    show when its writer commits."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(home)
+        found = files.agg(F.max(F.regexp_extract("path", r"/v(\d{6})/[^/]*$", 1).cast("int"))).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = None
+    version = found or 0
+    return read_state(spark, f"{home}/v{version:06d}", kinds), version
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -296,3 +296,38 @@ def test_view_keeps_rows_without_a_verdict(spark):
 def test_short_series_are_skipped(spark):
     ok, few = scan.enough(bars(spark, wave(59), code="s").unionByName(bars(spark, wave(60), code="l")), 60)
     assert ok.select("security_code").distinct().collect()[0][0] == "l" and few.first().reason == "insufficient_history"
+
+
+def test_mapping_is_loaded_or_built(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([("A", True)], "security_code string, resolved boolean")
+
+    path = str(tmp_path / "m")
+    assert [mapping.load_or_build(spark, path, build, refresh).count() for refresh in (False, False, True)] == [1, 1, 1] and len(calls) == 2
+
+
+def test_state_has_one_writer_a_version(spark, tmp_path):
+    home, kinds = str(tmp_path / "s"), {"security_code": "string", "n": "int"}
+    df, version = tables.latest_state(spark, home, kinds)
+    assert version == 0 and df.count() == 0
+    tables.write_state(spark.createDataFrame([("A", 1)], "security_code string, n int"), home, version + 1)
+    df, version = tables.latest_state(spark, home, kinds)
+    assert version == 1 and [tuple(r) for r in df.collect()] == [("A", 1)]
+    with pytest.raises(Exception, match="already exists"):
+        tables.write_state(df, home, 1)
+
+
+def test_diagnostics_list_five_errors(spark):
+    dims = spark.createDataFrame([(k, None if k == 1 else k) for k in range(8)], "security_code long, instrument_token long")
+    bad = spark.createDataFrame([(k, "no bars") for k in range(7)], "security_code long, error string")
+    r = scan.diagnostics(dims, dims.limit(0), dims.limit(3), bad).first()
+    assert (r.n_universe, r.n_resolved, r.n_ok, r.n_skipped, r.n_failed) == (8, 7, 0, 3, 7) and r.errors == "; ".join(f"{k}: no bars" for k in range(5))
+
+
+def test_radar_marks_short_series(spark):
+    dims = spark.createDataFrame([("1", "One", "S", "U", "ONE", "NSE", 1)], "security_code string, company_name_raw string, sector string, universe string, tradingsymbol string, exchange string, instrument_token long")
+    r = timeframes.radar(bars(spark, wave(40)), dims, settings()).first()
+    assert r.monthly_insufficient_data and r.monthly_rsi is None and not r.daily_insufficient_data and r.daily_bars_available == 40
