@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one under /tmp only where none is set (tests, local mode)."""
+    """The checkpoint folder of the session. Where none is set: one under /tmp in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        home = spark.conf.get("spark.checkpoint.dir", None)
+        if home is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(home or "/tmp/checkpoints")
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """A reliable checkpoint, in at most `parts` files: lost executors cost nothing. The files go when the frame is
     collected, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
@@ -28,6 +39,11 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return done
 
 
+def even(column: str) -> Column:
+    """A number from 0 to 1 by the column's hash, evenly spread over any number of rows: for samples by share."""
+    return (F.xxhash64(column).cast("double") / 2.0**63 + 1) / 2
+
+
 def few(df: DataFrame) -> int:
     """Partitions for frames that are much smaller than the input df, such as ids and pairs: one for every 16 MB of the
     input, 4 at least, and no more than the session's shuffles have."""
