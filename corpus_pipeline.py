@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
-from barloom.llm._store import shared_dir
+from barloom.llm._store import remove, shared_dir
 from barloom.llm.queries import held_out
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -57,14 +57,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; stages between the first and last rest in the shared folder."""
+    """All stages over documents. Each but the last rests in the shared folder until the next one is written; the last
+    but one stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{home}/{k}_{name}")
-            docs = spark.read.parquet(f"{home}/{k}_{name}")
+            path = f"{home}/{k}_{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
 
 
