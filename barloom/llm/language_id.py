@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import text_batches
+from barloom.llm._store import even, text_batches
 
 MAX_ROWS = 12_000
 SIZES = (3, 5)
@@ -134,10 +134,11 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
     if not count:
         return None
     languages = sorted(count)
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages")
+    if len(languages) > 64:  # a bitmask holds 64: the most frequent ones are learned
+        languages = sorted(sorted(count, key=lambda x: (-count[x], x))[:64])
+        rows = rows.filter(F.col("lang").isin(*languages))
     number = {lang: k for k, lang in enumerate(languages)}
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(1e6 * min(1.0, max_rows / len(languages) / count[lang])))])
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, max_rows / len(languages) / count[lang]))])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
                 k, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang, np.int32)), pa.array(k.astype(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    some = rows.filter(even("doc_id") <= share[F.col("lang")]).select("text", "lang")
     counts = some.mapInArrow(tally, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("seen")).filter("exists(seen, x -> x.n >= 2)")
 

@@ -26,7 +26,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._store import cut
+from barloom.llm._store import cut, even
 
 SPACES = r"[\\x20\\x09-\\x0D]+"
 WINDOW = 5
@@ -217,7 +217,7 @@ def learn(rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     if not total:
         return DecisionList()
     share = min(1.0, max_rows / total)
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    some = known.filter(even("doc_id") <= share)
     labelled = cut(rows.join(some, "doc_id").select("doc_id", "__label", *[F.col(f).cast("double").alias(f) for f in FEATURES]))
     grid = [k / bins for k in range(1, bins)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
     cuts = labelled.agg(*[F.percentile_approx(f, F.array(*[F.lit(x) for x in sorted(grid)]), F.lit(10_000)).alias(f) for f in FEATURES]).first()

@@ -175,6 +175,7 @@ class Coder:
         need = {w for p in parts if p for w in p}.difference(self.words)
         if len(self.words) + len(need) > WORDS:
             self.words.clear()
+            self.broken.clear()
             need = {w for p in parts if p for w in p}
         new = list(need)
         ids = list(self._encode_words(new))

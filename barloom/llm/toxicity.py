@@ -3,13 +3,13 @@
 Words (runs of letters, A-Z lower-cased) are written as 16-byte codes, so that a word a dictionary holds
 costs about 3 bytes and any other word 16: the difference of two compressed lengths counts words that only
 one dictionary explains, with almost no coding noise (on plain letters the noise of literals hid single
-words: at most 13 % of windows with a toxic word passed the 99th percentile of the others). Both
+words: README, notes on methods). Both
 dictionaries are raw content: the ordinary one the codes that save most over ordinary documents; the toxic one the same content and, behind it, the codes that save most over toxic
 documents and that ordinary text leaves unexplained. What a code saves is counted over its distinct
 preceding words, so that copies of one document count once. A document's features are the excess of ordinary
 over toxic length summed over its windows, the number of windows whose excess passes a threshold, and the
 largest excess. A logistic curve over them, fitted on labelled documents that trained neither dictionary,
-gives the score; the toxic dictionary's size is the one with the least log loss there.
+gives the score; the toxic dictionary's size and the windows' threshold are those with the least log loss there.
 
 Bounds: at most about `max_rows` labelled documents of each class are used (their whole texts); the
 dictionaries hold ORDINARY_WORDS and EXTRA_WORDS codes at most. Scores read every window of every text.
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import cut, text_batches
+from barloom.llm._store import cut, even, text_batches
 
 MAX_ROWS = 4000
 WINDOW = 16
 CODE = 16
-EXCESS = 6
+#: Bytes that a window must lose under the toxic dictionary to count: the choices.
+EXCESS = (4, 6, 9, 12)
 ORDINARY_WORDS = 1 << 15
 EXTRA_WORDS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024)
 THRESHOLD = 0.3
@@ -77,8 +78,8 @@ def contents(ordinary: list[int], toxic: list[int]) -> tuple[bytes, list[bytes]]
     return spell(ordinary), [spell(toxic[:n]) for n in EXTRA_WORDS if n == EXTRA_WORDS[0] or n <= 2 * len(toxic)] if toxic else []
 
 
-def _features(words: np.ndarray, plain, toxic: list) -> list[tuple[float, float, float, float]]:
-    """(summed excess, windows past EXCESS, largest excess, windows) for each toxic compressor."""
+def _features(words: np.ndarray, plain, toxic: list, excess: tuple[int, ...]) -> list[tuple[float, float, float, float]]:
+    """(summed excess, windows past the threshold, largest excess, windows) for each toxic compressor and threshold."""
     text = memoryview(_spell(words))
     step = WINDOW * CODE
     parts = [text[i : i + step] for i in range(0, len(text), step)]
@@ -86,8 +87,9 @@ def _features(words: np.ndarray, plain, toxic: list) -> list[tuple[float, float,
     out = []
     for c in toxic:
         gain = base - np.array([len(c(p)) for p in parts], np.int64)
-        over = gain >= EXCESS
-        out.append((float(gain[over].sum()), float(over.sum()), float(gain.max()) if len(gain) else 0.0, float(len(parts))))
+        for least in excess:
+            over = gain >= least
+            out.append((float(gain[over].sum()), float(over.sum()), float(gain.max()) if len(gain) else 0.0, float(len(parts))))
     return out
 
 
@@ -114,8 +116,8 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5) -> n
 class Model:
     """The two dictionaries and the curve; a constant where there was nothing to compare."""
 
-    def __init__(self, base: bytes = b"", extra: bytes = b"", beta: np.ndarray | None = None, constant: float = 0.0) -> None:
-        self.base, self.extra, self.beta, self.constant = base, extra, beta, constant
+    def __init__(self, base: bytes = b"", extra: bytes = b"", beta: np.ndarray | None = None, constant: float = 0.0, excess: int = EXCESS[0]) -> None:
+        self.base, self.extra, self.beta, self.constant, self.excess = base, extra, beta, constant, excess
 
     def scorer(self):
         if self.beta is None:
@@ -123,7 +125,7 @@ class Model:
         plain, toxic = _compressor(self.base), [_compressor(self.base + self.extra)]
 
         def score(column: pa.Array) -> np.ndarray:
-            f = np.array([_features(w, plain, toxic)[0] for w in _codes(column)]).reshape(-1, 4)
+            f = np.array([_features(w, plain, toxic, (self.excess,))[0] for w in _codes(column)]).reshape(-1, 4)
             return 1 / (1 + np.exp(-np.clip(_design(f) @ self.beta, -30, 30)))
 
         return score
@@ -138,8 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if len(count) < 2:
         return Model(constant=count.get(True, 0) / total if total else 0.0)
     share = {k: min(1.0, max_rows / n) for k, n in count.items()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = known.filter(chance < F.when(F.col("label"), int(share[True] * 1e6)).otherwise(int(share[False] * 1e6)))
+    some = known.filter(even("doc_id") <= F.when(F.col("label"), share[True]).otherwise(share[False]))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -169,25 +170,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, toxic = _compressor(base), [_compressor(base + x) for x in extras]
         for part in batches:
-            f = [np.array(_features(np.frombuffer(raw, U), plain, toxic)).ravel().tolist() for raw in part.column(1).to_pylist()]
+            f = [np.array(_features(np.frombuffer(raw, U), plain, toxic, EXCESS)).ravel().tolist() for raw in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f, pa.list_(pa.float64()))], ["label", "f"])
 
     seen = sorted((r.label, tuple(r.f)) for r in rows.filter("fold = 0").select("label", "words").mapInArrow(measure, "label boolean, f array<double>").collect())
     if len({label for label, _ in seen}) < 2:
         return Model(constant=count[True] / total)
     y = np.array([label for label, _ in seen], float)
-    f = np.array([x for _, x in seen]).reshape(len(seen), len(extras), 4)
+    f = np.array([x for _, x in seen]).reshape(len(seen), len(extras) * len(EXCESS), 4)
     w = np.where(y > 0, 1 / share[True], 1 / share[False])
     w *= len(w) / w.sum()
     best = None
-    for k in range(len(extras)):
+    for k in range(len(extras) * len(EXCESS)):
         x = _design(f[:, k])
         beta = _curve(x, y, w)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-6, 1 - 1e-6)
         loss = -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
         if best is None or loss < best[0] - 1e-6:
             best = (loss, k, beta)
-    return Model(base, extras[best[1]], best[2])
+    return Model(base, extras[best[1] // len(EXCESS)], best[2], excess=EXCESS[best[1] % len(EXCESS)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -148,6 +148,21 @@ def test_rules_are_learned_and_applied(spark, sf):
     assert quality_rules.judge(docs(spark, []), labels).count() == 0
 
 
+def test_verdicts_match_the_printed_rules(spark, sf):
+    """The rules read as text, applied in Python to features that brute force checks above."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.features(d)
+    rules = quality_rules.learn(rows, labels)
+    assert rules.rules
+    tests = {">": lambda x, y: x > y, "<=": lambda x, y: x <= y}
+    want = {}
+    for r in rows.collect():
+        reject = any(all(tests[t.split()[1]](float(r[t.split()[0]]), float(t.split()[2])) for t in line.removeprefix("reject if ").split(" and ")) for line in str(rules).split("\n"))
+        want[r.doc_id] = not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not reject
+    assert {r.doc_id: r.kept for r in quality_rules.judge(d, labels).collect()} == want
+
+
 def test_covering_finds_a_conjunction():
     cells = [((a, b), 20 * (a > 2 and b <= 1), 20 * (not (a > 2 and b <= 1))) for a in range(5) for b in range(5)]
     rules = quality_rules.cover(cells, cells, 2)
@@ -264,6 +279,31 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_scores_match_brute_force(spark, sf):
+    """Compressed lengths of every window by zstandard itself, then the curve."""
+    import zstandard as z
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.fit(d, labels.filter(~queries.held_out()))
+    params = z.ZstdCompressionParameters.from_level(1, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    plain, toxic = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for c in (m.base, m.base + m.extra))
+    code = {}
+    want = {}
+    for r in d.limit(300).collect():
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", (r.text or "").encode())
+        for w in found:
+            if w not in code:
+                code[w] = toxicity._spell(next(toxicity._codes(pa.array([w.decode()]))))
+        parts = [b"".join(code[w] for w in found[i : i + 16]) for i in range(0, len(found), 16)]
+        gain = [len(plain.compress(p)) - len(toxic.compress(p)) for p in parts]
+        over = [g for g in gain if g >= m.excess]
+        f = np.array([[sum(over), len(over), max(gain, default=0), len(parts)]], float)
+        want[r.doc_id] = 1 / (1 + np.exp(-np.clip(toxicity._design(f) @ m.beta, -30, 30)))[0]
+    got = {r.doc_id: r for r in toxicity.score(d, m).collect()}
+    assert want and all(abs(got[i].score - x) < 1e-9 and got[i].predicted == int(x >= 0.3) for i, x in want.items())
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edge(spark), none)
