@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._store import input_bytes, text_batches
+from barloom.llm._store import cut, input_bytes, text_batches
 
 SIZE = 50
 MAX_BITS = 1 << 29
@@ -236,6 +236,14 @@ def _kept(text: bytes, runs: list[dict] | None, size: int) -> tuple[int, int, by
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
+def _marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their __runs, NULL where nothing goes; texts that a filter of the marks doesn't know aren't shuffled."""
+    found = cut(found)
+    may = _sketch.among(found.select("__row"), F.col("__row"))
+    none = F.lit(None).cast(found.schema["__runs"].dataType)
+    return rows.filter(~may).withColumn("__runs", none).unionByName(rows.filter(may).join(found, ["__id", "__row"], "left"))
+
+
 def digest(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), by document row."""
 
@@ -249,8 +257,7 @@ def digest(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataF
             ids = part.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _keyed(docs).join(marks(docs, size, max_bits), ["__id", "__row"], "left")
-    return joined.select("__id", "__text", "__runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(_keyed(docs), marks(docs, size, max_bits)).select("__id", "__text", "__runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -267,7 +274,7 @@ def remove(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataF
 
     names = docs.columns
     key = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64(F.col("text").cast("string")))
-    joined = key.join(marks(docs, size, max_bits), ["__id", "__row"], "left")
+    joined = _marked(key, marks(docs, size, max_bits))
     out = joined.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(cut_text(F.col("text").cast("string"), F.col("__runs"))))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
