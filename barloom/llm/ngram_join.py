@@ -283,7 +283,7 @@ def _search(token: np.ndarray, sizes: np.ndarray, points: np.ndarray, fine: np.n
         yield from _pairs_of_equal_groups(points, sizes, fine, start[count == m], int(m))
     for s, m in zip(start[count > LEAF], count[count > LEAF], strict=True):
         tree = Tree(points[s : s + m], sizes[s : s + m], fine[s : s + m])
-        step = max(16, min(256, (1 << 20) // int(m)))
+        step = max(16, min(256, (1 << 18) // int(m)))  # some 100 MB at most
         for lo in range(0, m, step):
             for a, b, v in tree.search(lo, min(m, lo + step)):
                 yield s + tree.order[a], s + tree.order[b], v
