@@ -29,7 +29,7 @@ from barloom.llm._store import text_batches
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
 #: Words held in each of two generations by a Python worker, about 150 bytes each.
-CACHE = 150_000
+CACHE = 300_000
 SIGNS = "#*$%&|<>.,!?;:"
 
 
