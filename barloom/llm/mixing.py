@@ -6,10 +6,11 @@ level at which each one fills up.
 
 A source with the target T and S words takes every document floor(T / S) times: certain whole copies. The remaining
 R = T - floor(T / S) * S words come from a sample of one more copy with inclusion probabilities by size: they double with
-every RISE-th power of two of the length, so long documents are settled first and short ones make up the rest closely.
-Probabilities are scaled for R words to be expected, those at 1 are certain too. The others are ranked by Pareto order,
-the document's random odds u / (1 - u) divided by its inclusion odds p / (1 - p); the sample is the head of that order
-up to R words. What the next document is too long for goes, by the same order, to those of the next NEAR that fit.
+every RISE-th power of two of the length and are in proportion to the length within a power of two, scaled for R words to be
+expected. Powers of two whose probability reaches 1 are certain too. Of each other power, documents are ranked by Pareto
+order, their random odds u / (1 - u) divided by their inclusion odds p / (1 - p); the sample is the head of that order up
+to the words that the power is to give, its fixed size. What all heads leave open goes to the next SPARE documents of each
+order, the long ones first, where they fit.
 Random numbers are digests of the seed and doc_id, so reruns agree.
 
 Documents are read once, to rows of about 50 bytes. They are sorted by source and rank in ranges, so a source of any
@@ -32,7 +33,7 @@ from barloom.llm._store import cut
 C = F.col
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix"
-RISE, NEAR = 3, 64
+RISE, SPARE = 3, 16
 
 
 def _length(words: Column) -> Column:
@@ -65,19 +66,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def _chances(lengths: DataFrame, placed: DataFrame) -> DataFrame:
     """lengths(source, digits, key, words, n) with its source's numbers, whole (certain copies), chance (of one more), and
-    rest (the words that documents of uncertain chance are to give)."""
+    due (the words that documents drawn from it are to give)."""
     by = Window.partitionBy("rank")
     down, here = by.orderBy(F.desc("digits")), Window.currentRow
     t = lengths.join(placed, lengths["source"].eqNullSafe(placed["source"])).drop(placed["source"])
-    t = t.withColumn("whole", F.when(C("source_size") > 0, F.floor(C("target") / C("source_size"))).otherwise(0).cast("long"))
+    t = t.withColumn("whole", F.when(C("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("rest", C("target") - C("whole") * C("source_size"))
     t = t.withColumn("odds", F.when(C("digits") > 0, F.pow(F.lit(2.0), F.floor(C("digits") / RISE))).otherwise(0.0))
-    t = t.withColumn("due", C("odds") * C("words"))
-    sure = (C("rest") - F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) * C("odds") >= F.sum("due").over(down.rowsBetween(here, Window.unboundedFollowing))
+    sure = (C("rest") - F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) * C("odds") >= F.sum(C("odds") * C("words")).over(down.rowsBetween(here, Window.unboundedFollowing))
     t = t.withColumn("sure", (C("rest") > 0) & (C("digits") > 0) & sure)
     t = t.withColumn("rest", C("rest") - F.sum(F.when(C("sure"), C("words")).otherwise(0)).over(by))
-    chance = C("rest") * C("odds") / F.sum(F.when(C("sure"), 0.0).otherwise(C("due"))).over(by)
-    return t.withColumn("chance", F.when(C("sure"), 1.0).otherwise(F.coalesce(F.greatest(F.least(chance, F.lit(1.0)), F.lit(0.0)), F.lit(0.0))))
+    chance = F.try_divide(C("rest") * C("odds"), F.sum(F.when(C("sure"), 0.0).otherwise(C("odds") * C("words"))).over(by))
+    t = t.withColumn("chance", F.when(C("sure"), 1.0).otherwise(F.coalesce(F.greatest(F.least(chance, F.lit(1.0)), F.lit(0.0)), F.lit(0.0))))
+    return t.withColumns({"due": C("chance") * C("words"), "drawn": (C("chance") > 0) & (C("chance") < 1)})
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -85,34 +86,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sized(docs, seed)
     lengths = cut(rows.groupBy("source", "digits", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
-    placed = targets(lengths.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, parts)
+    small = max(1, min(parts, lengths.count() >> 16))
+    placed = targets(lengths.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, small)
     table = cut(_chances(lengths, placed))
-    drawn = (C("chance") > 0) & (C("chance") < 1)
-    # where each source's drawn documents begin in the order of all
-    begin = table.filter(drawn).groupBy("rank").agg(F.sum("words").alias("w"), F.sum("n").alias("k"))
-    begin = running(begin, [C("rank")], {"words_to": "w", "place_to": "k"}, parts).select("rank", (C("words_to") - C("w")).alias("words_at"), (C("place_to") - C("k")).alias("place_at"))
-    table = table.join(begin, "rank", "left").select("key", "n", "rank", "source_size", "target", "whole", "rest", "chance", "words_at", "place_at")
-    known = spread_join(rows.drop("source", "digits"), table, "key", "n").drop("key")
-    pareto = (C("u") * (1 - C("chance"))) / ((1 - C("u")) * C("chance"))
-    known = known.withColumns({"order": F.when(drawn, pareto).otherwise(-1.0), "w": F.when(drawn, C("size")).otherwise(0), "one": F.when(drawn, 1).otherwise(0)})
-    known = running(known, [C("rank"), C("order"), C("doc_id"), C("tie"), C("row")], {"words_to": "w", "place": "one"}, parts)
-    known = known.withColumn("in_head", drawn & (C("words_to") - C("words_at") <= C("rest")))
-    more = _fitting(known.filter(drawn))
-    known = known.withColumn("place", F.when(drawn, C("place")).otherwise(-1 - C("row"))).join(more, "place", "left")
+    # where the drawn documents of each source and length begin in the order of all
+    order = [C("rank"), -C("digits")]
+    begin = running(table.filter("drawn").select("key", "rank", "digits", "words"), order, {"words_to": "words"}, small).select("key", (C("words_to") - C("words")).alias("words_at"))
+    table = table.join(begin, "key", "left").select("key", "n", "rank", "source_size", "target", "whole", "chance", "drawn", "words", C("n").alias("documents"), "due", "words_at")
+    known = spread_join(rows.drop("source"), table, "key", "n").drop("key")
+    p = F.least(C("chance") * C("size") * C("documents") / C("words"), F.lit(1 - 1e-9))
+    pareto = F.try_divide(C("u") * (1 - p), (1 - C("u")) * p)
+    known = known.withColumns({"order": F.when(C("drawn"), pareto).otherwise(-1.0), "w": F.when(C("drawn"), C("size")).otherwise(0), "one": F.when(C("drawn"), 1).otherwise(0)})
+    known = running(known.drop("documents", "words"), [*order, C("order"), C("doc_id"), C("tie"), C("row")], {"words_to": "w", "place": "one"}, parts)
+    known = known.withColumn("in_head", C("drawn") & (C("words_to") - C("words_at") <= C("due")))
+    more = _fitting(known.filter("drawn"))
+    known = known.withColumn("place", F.when(C("drawn"), C("place")).otherwise(-1 - C("row"))).join(more, "place", "left")
     extra = (C("chance") == 1) | C("in_head") | C("fits").isNotNull()
     known = known.withColumn("copies", F.when(C("size") > 0, C("whole") + extra.cast("long")).otherwise(0))
     return known.select("doc_id", "size", "source_size", "target", "copies", (C("copies") * C("size")).alias("taken"))
 
 
 def _fitting(drawn: DataFrame) -> DataFrame:
-    """(place, fits) of documents after the head of each source's order that fit into what the head leaves open."""
-    head = drawn.groupBy("rank").agg(
-        F.coalesce(F.max(F.when(C("in_head"), C("place"))), F.first("place_at")).alias("end"),
-        F.max("place").alias("last"),
-        (F.first("rest") - F.coalesce(F.sum(F.when(C("in_head"), C("size"))), F.lit(0))).alias("open"),
-    )
-    after = head.filter("last > end AND open >= 1").select("rank", "open", F.explode(F.sequence(C("end") + 1, F.least(C("end") + NEAR, C("last")))).alias("place"))
-    near = after.join(drawn.select("place", "size"), "place").groupBy("rank").agg(F.first("open").alias("open"), F.sort_array(F.collect_list(F.struct("place", "size"))).alias("near"))
+    """(place, fits) of the documents after the heads that take up what a source's heads leave open."""
+    next_ = [F.min(F.when(~C("in_head") & (C("place") % SPARE == k), F.struct("place", (-C("size")).alias("less")))) for k in range(SPARE)]
+    given = F.sum(F.when(C("in_head"), C("size")).otherwise(0))
+    each = drawn.groupBy("rank", "digits").agg((F.first("due") - given).alias("open"), F.array(*next_).alias("next"))
+    near = each.groupBy("rank").agg(F.sum("open").alias("open"), F.flatten(F.collect_list("next")).alias("near"))
     start = F.struct(C("open").alias("open"), F.array().cast("array<bigint>").alias("fits"))
-    taken = F.aggregate("near", start, lambda s, x: F.when(x["size"] <= s["open"], F.struct((s["open"] - x["size"]).alias("open"), F.concat(s["fits"], F.array(x["place"])).alias("fits"))).otherwise(s))
-    return cut(near.select(F.explode(taken["fits"]).alias("place"), F.lit(True).alias("fits")))
+    longest = F.sort_array(F.transform(F.array_compact("near"), lambda x: F.struct(x["less"].alias("less"), x["place"].alias("place"))))
+    step = lambda s, x: F.when(-x["less"] <= s["open"], F.struct((s["open"] + x["less"]).alias("open"), F.concat(s["fits"], F.array(x["place"])).alias("fits"))).otherwise(s)
+    return cut(near.select(F.explode(F.aggregate(longest, start, step)["fits"]).alias("place"), F.lit(True).alias("fits")))

@@ -118,7 +118,7 @@ def oracle_sql() -> dict[str, str]:
             FROM w LEFT JOIN gone USING (doc_id)""",
         "op11_mixing": r"""
             WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
-            c AS (SELECT source, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+            c AS (SELECT source, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS digits, CAST(sum(size) AS BIGINT) AS words, count(*) AS n FROM d GROUP BY ALL),
             s0 AS (SELECT source, CAST(sum(words) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM c GROUP BY source),
             s1 AS (SELECT *, 3 * s AS f, [5, 2, 1][(rank - 1) % 3 + 1] AS w FROM s0),
             s2 AS (SELECT *, f * (sum(w) OVER () - sum(w) OVER o + w) <= w * (sum(s) OVER () - sum(f) OVER o + f) AS stops FROM s1 WINDOW o AS (ORDER BY f / w, rank ROWS UNBOUNDED PRECEDING)),
@@ -128,12 +128,13 @@ def oracle_sql() -> dict[str, str]:
                    WINDOW o AS (PARTITION BY rank ORDER BY digits DESC ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY rank ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
             c3 AS (SELECT * REPLACE (rest - sum(CASE WHEN sure THEN words ELSE 0 END) OVER (PARTITION BY rank) AS rest), sum(CASE WHEN sure THEN 0.0 ELSE odds * words END) OVER (PARTITION BY rank) AS due FROM c2),
             c4 AS (SELECT *, CASE WHEN sure THEN CAST(1 AS DOUBLE) WHEN due > 0 THEN greatest(least(rest * odds / due, 1.0), 0.0) ELSE CAST(0 AS DOUBLE) END AS chance FROM c3),
-            k AS (SELECT doc_id, size, u, c4.* EXCLUDE (source, digits, words), row_number() OVER o AS place, sum(size) OVER o AS upto, chance > 0 AND chance < 1 AS drawn FROM d JOIN c4 ON d.source IS NOT DISTINCT FROM c4.source AND c4.digits = CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END
-                  WINDOW o AS (PARTITION BY rank, chance > 0 AND chance < 1 ORDER BY (u * (1 - chance)) / ((1 - u) * chance), doc_id ROWS UNBOUNDED PRECEDING)),
-            h AS (SELECT rank, any_value(rest) - coalesce(sum(CASE WHEN upto <= rest THEN size END), 0) AS opened, coalesce(max(CASE WHEN upto <= rest THEN place END), 0) AS ended FROM k WHERE drawn GROUP BY rank),
-            g AS (SELECT rank, list_reduce(list_prepend({'o': any_value(opened), 'size': CAST(0 AS BIGINT), 'fits': [CAST(0 AS BIGINT)], 'p': CAST(0 AS BIGINT)}, list({'o': CAST(0 AS DOUBLE), 'size': size, 'fits': [CAST(0 AS BIGINT)], 'p': place} ORDER BY place)),
-                  lambda x, y: CASE WHEN y.size <= x.o THEN {'o': x.o - y.size, 'size': CAST(0 AS BIGINT), 'fits': list_append(x.fits, y.p), 'p': CAST(0 AS BIGINT)} ELSE x END).fits AS fits FROM k JOIN h USING (rank) WHERE drawn AND place > ended AND place <= ended + 64 GROUP BY rank)
-            SELECT doc_id, size, k.s AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(size * (whole + CASE WHEN chance = 1 OR drawn AND (upto <= rest OR coalesce(list_contains(fits, place), false)) THEN 1 ELSE 0 END) AS BIGINT) END AS taken FROM k LEFT JOIN g USING (rank)""",
+            k AS (SELECT doc_id, size, u, c4.* EXCLUDE (source), row_number() OVER o AS place, sum(size) OVER o AS upto, chance > 0 AND chance < 1 AS drawn FROM (SELECT *, least(chance * size * n / words, CAST(1 - 1e-9 AS DOUBLE)) AS p
+                  FROM d JOIN c4 ON d.source IS NOT DISTINCT FROM c4.source AND c4.digits = CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END) AS c4 WINDOW o AS (PARTITION BY rank, digits ORDER BY (u * (1 - p)) / ((1 - u) * p), doc_id ROWS UNBOUNDED PRECEDING)),
+            h AS (SELECT rank, digits, any_value(chance * words) - coalesce(sum(CASE WHEN upto <= chance * words THEN size END), 0) AS opened, coalesce(max(CASE WHEN upto <= chance * words THEN place END), 0) AS ended FROM k WHERE drawn GROUP BY rank, digits),
+            b AS (SELECT rank, digits, place, size FROM k JOIN h USING (rank, digits) WHERE drawn AND place > ended AND place <= ended + 16),
+            g AS (SELECT rank, list_reduce(list_prepend({'o': (SELECT sum(opened ORDER BY digits) FROM h WHERE h.rank = b.rank), 'size': CAST(0 AS BIGINT), 'fits': [[CAST(0 AS BIGINT), 0]], 'p': [CAST(0 AS BIGINT), 0]}, list({'o': CAST(0 AS DOUBLE), 'size': size, 'fits': [[CAST(0 AS BIGINT), 0]], 'p': [digits, place]} ORDER BY size DESC, digits DESC, place)),
+                  lambda x, y: CASE WHEN y.size <= x.o THEN {'o': x.o - y.size, 'size': CAST(0 AS BIGINT), 'fits': list_append(x.fits, y.p), 'p': [CAST(0 AS BIGINT), 0]} ELSE x END).fits AS fits FROM b GROUP BY rank)
+            SELECT doc_id, size, k.s AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(size * (whole + CASE WHEN chance = 1 OR drawn AND (upto <= chance * words OR coalesce(list_contains(fits, [digits, place]), false)) THEN 1 ELSE 0 END) AS BIGINT) END AS taken FROM k LEFT JOIN g USING (rank)""",
         "op12_hard_negatives": r"""
             WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
