@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import token_prefix
+from barloom.operators import name_match
 from barloom.sources.tables import keep_first
 
 C = F.col
@@ -18,37 +18,18 @@ SYMBOL_REASONS = ("exact_nse_symbol_match", "symbol_not_found_in_nse_dump")
 COLUMNS = ("company_name_raw", "security_code", "sector", "universe", "resolved", "reason", "exchange", "tradingsymbol", "instrument_token", "bse_instrument_token", "match_confidence")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """The matching-blocks similarity of two texts, 2 * matches / length; no built-in function has it."""
-
-    @F.pandas_udf("double")
-    def match(x, y):
-        import difflib
-
-        import pandas as pd
-
-        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
-
-    return match(a, b)
-
-
 def best_names(wanted: DataFrame, dump: DataFrame) -> DataFrame:
     """security_code and the best row of dump(name_key, pos, tradingsymbol, instrument_token) by name.
 
     Equal keys score 1. Others are compared within the block of their first word: the similarity ratio, at least 0.95
     where the words of one key begin those of the other; ties go to the earlier row.
     """
-    d = dump.filter("name_key <> ''").select(C("name_key").alias("k"), "pos", C("tradingsymbol").alias("sym"), C("instrument_token").alias("token"))
-    w = wanted.filter("name_key <> ''").select("security_code", "name_key")
-    first = lambda x: F.substring_index(x, " ", 1)
-    exact = w.join(d, C("name_key") == C("k")).withColumn("score", F.lit(1.0))
-    rest = w.join(exact.select("security_code").distinct(), "security_code", "left_anti").withColumn("block", first(C("name_key")))
-    near = rest.join(d.withColumn("block", first(C("k"))), "block")
-    r = ratio(C("name_key"), C("k"))
-    near = near.withColumn("score", F.when(token_prefix(C("name_key"), C("k")), F.greatest(r, F.lit(0.95))).otherwise(r)).filter("score > 0")
-    both = exact.select("security_code", "sym", "token", "score", "pos").unionByName(near.select("security_code", "sym", "token", "score", "pos"))
-    best = Window.partitionBy("security_code").orderBy(F.desc("score"), "pos")
-    return both.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select("security_code", "sym", "token", "score")
+    d = dump.filter("name_key <> ''").select(C("name_key").alias("name"), "pos", C("tradingsymbol").alias("sym"), C("instrument_token").cast("long").alias("token"))
+    w = wanted.filter("name_key <> ''").select(C("security_code").cast("string").alias("security_code"), C("name_key").alias("name"))
+    first = d.groupBy("name").agg(F.min(F.struct("pos", "sym", "token")).alias("r"))
+    exact = w.join(first, "name").select("security_code", "r.sym", "r.token", F.lit(1.0).alias("score"))
+    rest = w.join(first.select("name"), "name", "left_anti")
+    return exact.unionByName(name_match.closest(rest, d).drop("compared"))
 
 
 def by_code(universe: DataFrame, bse: DataFrame, nse: DataFrame, min_confidence: float = MIN_CONFIDENCE, tag: str = "BY_CODE", reasons: tuple[str, str, str] = CODE_REASONS) -> DataFrame:

@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.kept(tables.bars_from_trades(spark, sf_dir))
+    return tables.bars_from_trades(spark, sf_dir)
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -677,7 +677,33 @@ def dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return u, bse, nse
 
 
-@query("j03_name_mapping")
+_NAME_KEYS = rf"""ka AS (SELECT *, trim(regexp_replace(upper(regexp_replace(nm, '[^A-Za-z0-9& ]', ' ', 'g')), ' +', ' ', 'g')) AS s FROM named0),
+    kb AS (SELECT * EXCLUDE (s, nm), list_reduce(list_prepend('', string_split(s, ' ')), lambda x, y: CASE WHEN x = '' THEN y WHEN len(y) = 1 AND y <> '&' AND regexp_matches(x, '(^| |\x01)[^& ]$') THEN x || chr(1) || y ELSE x || ' ' || y END) AS j FROM ka),
+    named AS (SELECT * EXCLUDE (j), array_to_string(list_filter(string_split(replace(j, chr(1), ''), ' '), lambda w: w <> '' AND w NOT IN {scalars.SUFFIX_WORDS}), ' ') AS k FROM kb)"""
+
+#: Matching blocks: the longest common block of two segments, the first in either, then the same left and right of it.
+_J03 = rf"""WITH RECURSIVE named0 AS (SELECT p_partkey AS id, false AS listed, p_name || ' ' || p_brand || ' Ltd' AS nm FROM part WHERE p_partkey % 10 <> 0
+      UNION ALL SELECT p_partkey, true, p_name || ' ' || p_brand || CASE WHEN p_partkey % 4 = 0 THEN ' Holdings' ELSE '' END FROM part WHERE p_partkey % 3 <> 0), {_NAME_KEYS},
+    w AS (SELECT id, k FROM named WHERE NOT listed AND k <> ''), d AS (SELECT id, k FROM named WHERE listed AND k <> ''),
+    exact AS (SELECT w.id, min(d.id) AS best, CAST(1 AS DOUBLE) AS score FROM w JOIN d USING (k) GROUP BY w.id),
+    pairs AS (SELECT w.id AS a_id, d.id AS b_id, w.k AS a, d.k AS b FROM w JOIN d ON split_part(w.k, ' ', 1) = split_part(d.k, ' ', 1) WHERE w.id NOT IN (SELECT id FROM exact)),
+    seg AS (SELECT a_id, b_id, a, b, 1 AS alo, len(a) AS ahi, 1 AS blo, len(b) AS bhi, CAST(0 AS BIGINT) AS n FROM pairs
+      UNION ALL
+      SELECT a_id, b_id, a, b, CASE side WHEN 0 THEN alo ELSE i + n END, CASE side WHEN 0 THEN i - 1 ELSE ahi END, CASE side WHEN 0 THEN blo ELSE j + n END, CASE side WHEN 0 THEN j - 1 ELSE bhi END, CASE side WHEN 0 THEN n ELSE 0 END
+      FROM (SELECT a_id, b_id, a, b, alo, ahi, blo, bhi, count(*) AS n, min(i) AS i, min(j) AS j
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY a_id, b_id, alo, blo, i - j ORDER BY i) AS run
+                  FROM (SELECT x.*, y.j FROM (SELECT *, unnest(range(alo, ahi + 1)) AS i FROM seg WHERE ahi >= alo AND bhi >= blo) x, LATERAL (SELECT unnest(range(x.blo, x.bhi + 1)) AS j) y WHERE x.a[x.i] = x.b[y.j]))
+            GROUP BY a_id, b_id, a, b, alo, ahi, blo, bhi, i - j, run QUALIFY row_number() OVER (PARTITION BY a_id, b_id, alo, blo ORDER BY count(*) DESC, min(i), min(j)) = 1), (VALUES (0), (1)) AS sides(side)),
+    r AS (SELECT a_id, b_id, any_value(a) AS a, any_value(b) AS b, 2.0 * sum(n) / (len(any_value(a)) + len(any_value(b))) AS ratio FROM seg GROUP BY a_id, b_id),
+    sc AS (SELECT a_id, b_id, CAST(CASE WHEN starts_with(b || ' ', a || ' ') AND contains(a, ' ') OR starts_with(a || ' ', b || ' ') AND contains(b, ' ') THEN greatest(ratio, 0.95) ELSE ratio END AS DOUBLE) AS score FROM r WHERE ratio > 0),
+    best AS (SELECT id, best, score FROM exact UNION ALL (SELECT a_id, b_id, score FROM sc QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) = 1))
+    SELECT array_to_string(list_transform(string_split(p_name || ' ' || p_brand, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS company_name_raw, CAST(p_partkey AS VARCHAR) AS security_code, p_type AS sector, 'BY_CODE' AS universe, p_partkey % 10 <> 0 AS resolved,
+    CASE WHEN p_partkey % 10 = 0 THEN 'security_code_not_found_in_dump' WHEN score >= 0.82 THEN 'matched_nse_by_name' ELSE 'no_confident_nse_match_using_bse' END AS reason, CASE WHEN p_partkey % 10 <> 0 THEN CASE WHEN score >= 0.82 THEN 'NSE' ELSE 'BSE' END END AS exchange,
+    CASE WHEN p_partkey % 10 <> 0 THEN 'S' || CASE WHEN score >= 0.82 THEN best ELSE p_partkey END END AS tradingsymbol, CASE WHEN p_partkey % 10 <> 0 THEN CASE WHEN score >= 0.82 THEN best + 2000000 ELSE p_partkey + 1000000 END END AS instrument_token,
+    CASE WHEN p_partkey % 10 <> 0 THEN p_partkey + 1000000 END AS bse_instrument_token, CASE WHEN p_partkey % 10 <> 0 THEN round(coalesce(score, 0), 3) ELSE 0 END AS match_confidence FROM part LEFT JOIN best ON best.id = p_partkey"""
+
+
+@query("j03_name_mapping", _J03)
 def _(spark, sf_dir):
     u, bse, nse = dumps(spark, sf_dir)
     return mapping.by_code(u, bse, nse)

@@ -41,12 +41,6 @@ def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kept(bars: DataFrame) -> DataFrame:
-    """Bars dealt by security in order of date and persisted (memory, then disk): what follows in the session reads and
-    shuffles them no more. For series of many terabytes write them once with `write_bars` instead."""
-    return bars.repartition("security_code").sortWithinPartitions("security_code", "date").persist()
-
-
 def benchmark(bars: DataFrame) -> DataFrame:
     """Each date's mean close."""
     return bars.groupBy("date").agg(F.avg("close").alias("bench_close"))
@@ -188,29 +182,5 @@ def read_state(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFra
         return spark.createDataFrame([], schema(", ".join(f"{c} {k}" for c, k in kinds.items())))
 
 
-def write_state(df: DataFrame, home: str, version: int) -> str:
-    """Writes one version of a state table in a folder of its own. A version that exists is an error, so of two writers
-    that read the same version one fails and has to read again."""
-    path = f"{home}/v{version:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
-def latest_state(spark: SparkSession, home: str, kinds: dict[str, str]) -> tuple[DataFrame, int]:
-    """(the last version of a state table, its number); an empty table and 0 where there is none. The files of a version
-    show when its writer commits."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(home)
-        found = files.agg(F.max(F.regexp_extract("path", r"/v(\d{6})/[^/]*$", 1).cast("int"))).first()[0]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        found = None
-    version = found or 0
-    return read_state(spark, f"{home}/v{version:06d}", kinds), version
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
