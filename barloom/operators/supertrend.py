@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import smoothed, wilder
+from barloom.functions.windows import recent, smoothed, wilder
 from barloom.operators.indicators import tail, true_range
 
+C = F.col
+
 
 def bands(bars: DataFrame, period: int, multiplier: float) -> DataFrame:
     """security_code, date, close, u, l: the basic bands, NULL until the average range is known."""
@@ -50,28 +52,91 @@ def chart(bars: DataFrame, n: int = 150, period: int = 10, multiplier: float = 3
     return last.withColumns({"supertrend_up": side(True), "supertrend_down": side(False)}).drop("supertrend", "supertrend_bullish")
 
 
-def series(bars: DataFrame, period: int = 10, multiplier: float = 3.0, flip_within: int = 3) -> DataFrame:
-    """security_code, date, supertrend, supertrend_bullish, supertrend_flip_recent of every bar, one security at a time."""
-    import numpy as np
-
-    def run(b):
-        b = b.sort_values("date")
-        u, low, close = (b[c].to_numpy(float) for c in ("u", "l", "close"))
-        n = len(b)
-        line, bull = np.full(n, np.nan), np.zeros(n, bool)
-        if n > period:
-            fu, fl, upper = u[period], low[period], True
-            line[period] = fu
-            for i in range(period + 1, n):
-                nu = u[i] if u[i] < fu or close[i - 1] > fu else fu
-                nl = low[i] if low[i] > fl or close[i - 1] < fl else fl
-                upper = close[i] <= nu if upper or fu == fl else close[i] < nl
-                fu, fl = nu, nl
-                line[i], bull[i] = (fu, False) if upper else (fl, True)
-        flip = bull & ~np.concatenate([[False], bull[:-1]])
-        recent = np.convolve(flip, np.ones(flip_within))[:n] > 0
-        return b[["security_code", "date"]].assign(supertrend=[None if x != x else float(x) for x in line], supertrend_bullish=bull, supertrend_flip_recent=recent)
-
-    kinds = dict(bars.dtypes)
-    out = f"security_code {kinds['security_code']}, date {kinds['date']}, supertrend double, supertrend_bullish boolean, supertrend_flip_recent boolean"
-    return bands(bars, period, multiplier).groupBy("security_code").applyInPandas(run, out)
+#: Bars of a block: what is gathered in one row.
+BLOCK = 64
+
+
+def _through(levels: Column, x: Column) -> Column:
+    """What a block makes of the band x that comes in: the value of the first level, from the outermost, that doesn't hold
+    it, or x itself."""
+    return F.coalesce(F.get(F.filter(levels, lambda v: (x < v["lo"]) | (x > v["hi"])), F.lit(0))["out"], x)
+
+
+def _levels(bars: Column) -> Column:
+    """A block's map of incoming bands: nested intervals lo..hi, each with the value at the block's end of what lies outside.
+
+    One bar keeps x within its own interval and replaces it by its value v elsewhere. Going back from the last bar, its
+    interval clips those inside, and outside of it stands what the bars after make of v.
+    """
+    none = F.array().cast("array<struct<lo:double,hi:double,out:double>>")
+
+    def before(levels: Column, b: Column) -> Column:
+        lo, hi = lambda v: F.greatest(v["lo"], b["lo"]), lambda v: F.least(v["hi"], b["hi"])
+        outer = F.array(F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), _through(levels, b["v"]).alias("out")))
+
+        def counts(v: Column, i: Column) -> Column:
+            """Levels as wide as the bar's interval hold all that is left, and those within an empty one are never reached."""
+            outside = F.get(levels, i - 1)
+            return ((v["lo"] > b["lo"]) | (v["hi"] < b["hi"])) & ((i == 0) | (lo(outside) <= hi(outside)))
+
+        clipped = F.transform(F.filter(levels, counts), lambda v: F.struct(lo(v).alias("lo"), hi(v).alias("hi"), v["out"].alias("out")))
+        return F.when(b["lo"] > b["hi"], outer).otherwise(F.concat(outer, clipped))
+
+    return F.aggregate(F.reverse(bars), none, before)
+
+
+def _bands_of(bars: Column, x: Column) -> Column:
+    """The band after each bar of a block that x comes into."""
+    start = F.struct(x.alias("x"), F.array().cast("array<double>").alias("all"))
+
+    def step(s: Column, b: Column) -> Column:
+        now = F.when((s["x"] < b["lo"]) | (s["x"] > b["hi"]) | s["x"].isNull(), b["v"]).otherwise(s["x"])
+        return F.struct(now.alias("x"), F.concat(s["all"], F.array(now)).alias("all"))
+
+    return F.aggregate(bars, start, step)["all"]
+
+
+def _incoming(levels: str) -> Column:
+    """The band that comes into a block: from the last block before that is blind to what came into it, through the maps of
+    the blocks after that one."""
+    before = Window.partitionBy("security_code").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blind = F.exists(levels, lambda v: v["lo"] > v["hi"]) & F.forall(levels, lambda v: v["out"] == F.get(levels, F.lit(0))["out"])
+    known = F.last(F.when(blind, F.struct("__block", F.get(levels, F.lit(0))["out"].alias("x"))), True).over(before)
+    open_ = F.collect_list(F.when(~blind, F.struct("__block", C(levels).alias("levels")))).over(before)
+    rest = F.filter(open_, lambda m: known.isNull() | (m["__block"] > known["__block"]))
+    return F.aggregate(rest, known["x"], lambda x, m: _through(m["levels"], x))
+
+
+def series(bars: DataFrame, period: int = 10, multiplier: float = 3.0, flip_within: int = 3, block: int = BLOCK) -> DataFrame:
+    """security_code, date, supertrend, supertrend_bullish, supertrend_flip_recent of every bar, in the JVM.
+
+    A final band is the one before as long as that lies between the bar's own band and the close before, and the bar's own
+    band elsewhere. Blocks of bars are folded into maps of the band that comes in, stitched by what the blocks before make of
+    it, and then folded forward; no row holds more than a block of bars, and the open maps of the blocks since one that any
+    band leaves alike. The side is a chain of maps of one bit: the last bar that sets it and the number of turns since then.
+    """
+    by = Window.partitionBy("security_code").orderBy("date")
+    b = bands(bars, period, multiplier)
+    b = b.withColumns({"__i": F.row_number().over(by) - 1 - period, "__pc": F.lag("close").over(by)})
+    inf = float("inf")
+    seed = C("__i") == 0
+    early = C("__i") < 0  # no band yet: NULL goes in and comes out
+    bar = lambda lo, hi, v: F.struct(F.when(seed, inf).when(early, -inf).otherwise(lo).alias("lo"), F.when(seed, -inf).when(early, inf).otherwise(hi).alias("hi"), F.when(~early, v).alias("v"))
+    rows = F.struct("date", "close", bar(C("__pc"), C("u"), C("u")).alias("u"), bar(C("l"), C("__pc"), C("l")).alias("l"))
+    blocks = b.groupBy("security_code", F.floor(C("__i") / block).alias("__block")).agg(F.sort_array(F.collect_list(rows)).alias("b"))
+    side = lambda c: F.transform("b", lambda x: x[c])
+    blocks = blocks.withColumns({"__u": _levels(side("u")), "__l": _levels(side("l"))})
+    blocks = blocks.withColumns({"__xu": _incoming("__u"), "__xl": _incoming("__l")})
+    blocks = blocks.withColumns({"fu": _bands_of(side("u"), C("__xu")), "fl": _bands_of(side("l"), C("__xl"))})
+    each = blocks.select("security_code", F.inline(F.arrays_zip(side("date").alias("date"), side("close").alias("close"), "fu", "fl")))
+    each = each.toDF("security_code", "date", "close", "fu", "fl")
+    above, below = C("close") <= C("fu"), C("close") < C("fl")
+    first = F.lag("fu").over(by).isNull()
+    sets = first | (F.lag("fu").over(by) == F.lag("fl").over(by)) | (above == below)
+    each = each.withColumns({"sets": sets, "value": first | above, "turn": (~sets & ~above).cast("int")})
+    each = each.withColumn("turns", F.sum("turn").over(by))
+    each = each.withColumn("at", F.last(F.when(C("sets"), F.struct("value", "turns")), True).over(by))
+    each = each.withColumn("upper", C("at.value") != ((C("turns") - C("at.turns")) % 2 == 1))
+    known = each.select("security_code", "date", F.when(C("upper"), C("fu")).otherwise(C("fl")).alias("supertrend"), (~C("upper")).alias("supertrend_bullish"))
+    flip = C("supertrend_bullish") & ~F.lag("supertrend_bullish", 1, False).over(by)
+    return known.withColumn("flip", flip).withColumn("supertrend_flip_recent", recent(C("flip"), flip_within)).drop("flip")

@@ -10,7 +10,7 @@ its time zone and stored under a name of its own before it is renamed, so a repe
 fails all the same gives one row with its error, and the others go on.
 
 Files are listed once, when the read is planned; filters on security_code leave only those securities to read or fetch
-(with spark.sql.python.filterPushdown.enabled). Partitions take turns in the securities, and each waits as long between
+(where the session sets spark.sql.python.filterPushdown.enabled). Partitions take turns in the securities, and each waits as long between
 calls as keeps all of them within `requests_per_second`.
 """
 
@@ -90,7 +90,7 @@ def loaded(path: str, file: str) -> pa.Table | None:
 
 class FetchedBars(DataSource):
     """Options: path, keys (JSON list; else all securities with a file), fetch, interval (day), ttl_hours (6), history_days
-    (400), retries (3), requests_per_second (2.5), partitions (200), today (ISO date; else the system's)."""
+    (400), retries (3), requests_per_second (2.5), partitions (200), today (ISO date; else the system's), pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,7 +100,8 @@ class FetchedBars(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (FilteringReader if options.get("pushdown") == "true" else Reader)(options)
 
 
 class Reader(DataSourceReader):
@@ -112,14 +113,6 @@ class Reader(DataSourceReader):
         self.rate, self.slices, self.today = float(get("requests_per_second", 2.5)), int(get("partitions", 200)), get("today")
         self.only: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute == ("security_code",):
-                found = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only = found if self.only is None else self.only & found
-            else:
-                yield f
-
     def partitions(self) -> list[Slice]:
         from pyarrow import fs
 
@@ -174,9 +167,22 @@ class Reader(DataSourceReader):
         return None, error, last
 
 
+class FilteringReader(Reader):
+    """Takes over filters on security_code."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("security_code",):
+                found = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = found if self.only is None else self.only & found
+            else:
+                yield f
+
+
 def history(spark: SparkSession, path: str, keys: list[str] | None = None, **options) -> DataFrame:
     """Bars of the securities by fetch or cache, with `error` set in the one row of each that failed."""
     spark.dataSource.register(FetchedBars)
+    options["pushdown"] = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")  # Spark refuses readers that filter without it
     if keys is not None:
         options["keys"] = json.dumps([str(k) for k in keys])
     return spark.read.format("fetched_bars").options(path=path, **{k: str(v) for k, v in options.items()}).load()

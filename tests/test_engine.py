@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.config import DEFAULTS, overlay, settings
 from barloom.functions import scalars, windows
 from barloom.operators import candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
-from barloom.sources import tables
+from barloom.sources import state, tables
 
 C = F.col
 
@@ -282,7 +282,7 @@ def test_sources_and_state(spark, tmp_path):
     assert [(r.security_code, r.company_name_raw, r.sector, r.name_key) for r in u] == [("0500001", "Alpha Ltd", "Energy", "ALPHA"), ("500002", "Beta", "Unclassified", "BETA")]
     assert tables.theme_map(spark, str(tmp_path / "none.csv")).count() == 0
     assert tables.read_state(spark, str(tmp_path / "s"), tracking.HISTORY).count() == 0
-    path = tables.write_state(spark.createDataFrame([("1", 2)], "security_code string, times_seen long"), str(tmp_path / "s"), 1)
+    path = state.commit(spark.createDataFrame([("1", 2)], "security_code string, times_seen long"), str(tmp_path / "s"), 1)
     assert tables.read_state(spark, path, tracking.HISTORY).first().times_seen == 2
     tables.write_bars(bars(spark, wave(5)), str(tmp_path / "b"), 4)
     assert tables.bars(spark, str(tmp_path / "b")).count() == 5 and tables.fresh(spark, str(tmp_path / "b"), 1).count() == 5
@@ -309,17 +309,6 @@ def test_mapping_is_loaded_or_built(spark, tmp_path):
     assert [mapping.load_or_build(spark, path, build, refresh).count() for refresh in (False, False, True)] == [1, 1, 1] and len(calls) == 2
 
 
-def test_state_has_one_writer_a_version(spark, tmp_path):
-    home, kinds = str(tmp_path / "s"), {"security_code": "string", "n": "int"}
-    df, version = tables.latest_state(spark, home, kinds)
-    assert version == 0 and df.count() == 0
-    tables.write_state(spark.createDataFrame([("A", 1)], "security_code string, n int"), home, version + 1)
-    df, version = tables.latest_state(spark, home, kinds)
-    assert version == 1 and [tuple(r) for r in df.collect()] == [("A", 1)]
-    with pytest.raises(Exception, match="already exists"):
-        tables.write_state(df, home, 1)
-
-
 def test_diagnostics_list_five_errors(spark):
     dims = spark.createDataFrame([(k, None if k == 1 else k) for k in range(8)], "security_code long, instrument_token long")
     bad = spark.createDataFrame([(k, "no bars") for k in range(7)], "security_code long, error string")
