@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Settings
 from barloom.functions.windows import full, rows
+from barloom.operators.asof import asof
 
 C = F.col
 
@@ -49,13 +50,12 @@ def windows(bars: DataFrame, cfg: Settings) -> DataFrame:
     reach = g["recent_past_days"] + g["window_tolerance_days"]
     s = bars.withColumns({"__up": F.max("close").over(ahead), "__dn": F.min("close").over(ahead), "__last": F.max("date").over(Window.partitionBy("security_code"))})
     s = s.filter(C("date") >= F.date_sub("__last", reach)).select("security_code", C("date").alias("d"), C("high").alias("h"), C("low").alias("lo"), "__up", "__dn")
-    key = ["security_code", "anchor_type", "angle_degrees"]
-    hits = w.filter(due).join(s, "security_code").filter(C("d") >= F.date_sub("window_date", g["window_tolerance_days"]))
-    hits = hits.groupBy(*key).agg(F.min_by(F.struct("d", "h", "lo", "__up", "__dn"), "d").alias("s"))
-    out = w.join(hits, key, "left")
+    start = w.withColumn("__from", F.date_sub("window_date", g["window_tolerance_days"]))
+    out = asof(start, s, ["security_code"], "__from", "d", ["d", "h", "lo", "__up", "__dn"], "forward")
     sure = lambda x: F.coalesce(x, F.lit(False))
-    verdict = F.when(~due, "upcoming").when(sure(C("s.__up") > C("s.h")), "bullish_confirmed").when(sure(C("s.__dn") < C("s.lo")), "bearish_confirmed").otherwise("unconfirmed")
-    return out.select(*key, "anchor_date", "anchor_price", "window_date", "days_to_window", "level_up", "level_down", C("s.d").alias("signal_date"), C("s.h").alias("signal_high"), C("s.lo").alias("signal_low"), verdict.alias("confirmation"))
+    verdict = F.when(~due, "upcoming").when(sure(C("__up") > C("h")), "bullish_confirmed").when(sure(C("__dn") < C("lo")), "bearish_confirmed").otherwise("unconfirmed")
+    seen = lambda c, name: F.when(due, C(c)).alias(name)
+    return out.select("security_code", "anchor_type", "angle_degrees", "anchor_date", "anchor_price", "window_date", "days_to_window", "level_up", "level_down", seen("d", "signal_date"), seen("h", "signal_high"), seen("lo", "signal_low"), verdict.alias("confirmation"))
 
 
 def split(windows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,8 +99,8 @@ SCORES = {"trend": trend, "momentum": momentum, "volume": volume, "breakout_qual
 def sector_strength(rows: DataFrame) -> DataFrame:
     """sector, sector_score, sector_median: sectors ranked by the upper median of their relative returns (ties by name);
     a sector without data has no row, and where no sector has data every score is 50 (see `scored`)."""
-    med = rows.filter("relative_return_20d IS NOT NULL").groupBy("sector").agg(F.sort_array(F.collect_list("relative_return_20d")).alias("xs"))
-    med = med.select("sector", F.get("xs", F.floor(F.size("xs") / 2).cast("int")).alias("sector_median"))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY relative_return_20d DESC)")  # of an even number the higher one
+    med = rows.filter("relative_return_20d IS NOT NULL").groupBy("sector").agg(upper.alias("sector_median"))
     w = Window.orderBy("sector_median", "sector")
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return med.select("sector", ((F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1)) * 100.0).alias("sector_score"), "sector_median")

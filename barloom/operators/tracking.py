@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.config import Settings
+from barloom.operators.asof import asof
+
 C = F.col
 OPEN = "OPEN"
 CLOSED = ("HIT_TARGET", "HIT_STOPLOSS", "EXPIRED", "CLOSED_MANUAL")
@@ -47,24 +50,40 @@ def log_picks(picks: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
     return _cast(picks, PICKS).unionByName(_cast(made, PICKS))
 
 
-def evaluate(picks: DataFrame, bars: DataFrame, horizon: int = 15) -> DataFrame:
+def evaluate(picks: DataFrame, bars: DataFrame, horizon: int = 15, block: int = 64) -> DataFrame:
     """pick_id and the new values of open picks that have bars after their day.
 
     The first bar that touches stop or target closes the pick, the stop first on the same day; this is asked of
     all bars before the horizon, so a touch after it still counts. Else bar number `horizon` closes it as EXPIRED.
+
+    Picks find their first bar by an as-of join. Bars lie in blocks with their lowest low and highest high; a pick looks
+    into its first block, the first later one that touches a level, and the one of the horizon, not at all later bars.
     """
     open_ = picks.filter(C("status") == OPEN).select("pick_id", "security_code", "date_logged", "entry_price", "stop_loss", "target")
     b = bars.select(C("security_code").cast("string").alias("security_code"), C("date").cast("date").alias("date"), "high", "low", "close")
-    j = open_.join(b, "security_code").filter(C("date") > C("date_logged"))
-    j = j.withColumn("rn", F.row_number().over(Window.partitionBy("pick_id").orderBy("date")))
-    event = F.when(C("low") <= C("stop_loss"), F.struct(F.lit("HIT_STOPLOSS").alias("status"), C("stop_loss").alias("price"), C("date").alias("date"), C("rn").alias("rn"))).when(
-        C("high") >= C("target"), F.struct(F.lit("HIT_TARGET").alias("status"), C("target").alias("price"), C("date").alias("date"), C("rn").alias("rn"))
+    b = b.withColumn("i", F.row_number().over(Window.partitionBy("security_code").orderBy("date")) - 1)
+    at = asof(open_, b, ["security_code"], "date_logged", "date", ["i"]).withColumn("start", F.coalesce(C("i") + 1, F.lit(0))).drop("i")
+    blocks = b.groupBy("security_code", F.floor(C("i") / block).cast("int").alias("k")).agg(F.sort_array(F.collect_list(F.struct("i", "date", "high", "low", "close"))).alias("bars"), F.min("low").alias("lo"), F.max("high").alias("hi"))
+    whole = blocks.groupBy("security_code").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("blocks"), F.sum(F.size("bars")).alias("bars_in_all"), F.max(F.element_at("bars", -1)).alias("last"))
+    j = at.join(whole, "security_code").filter(C("bars_in_all") > C("start"))
+    touched = lambda x, low, high: F.coalesce(x[low] <= C("stop_loss"), F.lit(False)) | F.coalesce(x[high] >= C("target"), F.lit(False))
+    first, end = F.floor(C("start") / block).cast("int"), C("start") + horizon - 1
+    later = F.get(F.filter("blocks", lambda x: (x["k"] > first) & touched(x, "lo", "hi")), F.lit(0))["k"]
+    looked = F.array_distinct(F.array_compact(F.array(first, later, F.when(end < C("bars_in_all"), F.floor(end / block).cast("int")))))
+    j = j.withColumn("k", F.explode(looked)).drop("blocks").join(blocks.select("security_code", "k", "bars"), ["security_code", "k"])
+    hit = F.get(F.filter("bars", lambda x: (x["i"] >= C("start")) & touched(x, "low", "high")), F.lit(0))
+    stopped = F.coalesce(hit["low"] <= C("stop_loss"), F.lit(False))
+    outcome = lambda x, status, price: F.struct((x["i"] - C("start") + 1).alias("rn"), status.alias("status"), price.alias("price"), x["date"].alias("date"))
+    expired = F.get(F.filter("bars", lambda x: x["i"] == end), F.lit(0))
+    j = j.withColumns(
+        {
+            "event": F.when(hit.isNotNull(), outcome(hit, F.when(stopped, "HIT_STOPLOSS").otherwise("HIT_TARGET"), F.when(stopped, C("stop_loss")).otherwise(C("target")))),
+            "end": F.when(expired.isNotNull(), outcome(expired, F.lit("EXPIRED"), expired["close"])),
+        }
     )
-    end = F.when(C("rn") == horizon, F.struct(F.lit("EXPIRED").alias("status"), C("close").alias("price"), C("date").alias("date"), C("rn").alias("rn")))
-    j = j.withColumns({"event": event, "end": end})
     g = j.groupBy("pick_id").agg(
-        F.min_by("event", F.when(C("event").isNotNull(), C("rn"))).alias("event"), F.max("end").alias("end"), F.first("entry_price").alias("entry"),
-        F.count(F.lit(1)).alias("n"), F.max("date").alias("last_checked_date"), F.max_by("close", "date").alias("last_checked_price"),
+        F.min("event").alias("event"), F.max("end").alias("end"), F.first("entry_price").alias("entry"), F.first(C("bars_in_all") - C("start")).alias("n"),
+        F.first("last.date").alias("last_checked_date"), F.first("last.close").alias("last_checked_price"),
     )
     g = g.withColumn("x", F.coalesce("event", "end"))
     gain = lambda p: F.when(C("entry") != 0, F.round((p - C("entry")) / C("entry") * 100, 2))
@@ -89,16 +108,36 @@ def health_notes() -> Column:
     return F.when(notes == "", "No material deterioration flagged - setup still looks structurally intact.").otherwise(notes)
 
 
-def update(picks: DataFrame, bars: DataFrame, last: DataFrame, horizon: int = 15) -> DataFrame:
-    """The next version of picks: open ones with new bars are re-evaluated, with notes from the latest signals."""
+def update(picks: DataFrame, bars: DataFrame, last: DataFrame, horizon: int = 15, failed: DataFrame | None = None) -> DataFrame:
+    """The next version of picks: open ones with new bars are re-evaluated, with notes from the latest signals. Open picks of
+    securities in failed(security_code, error) only note the error."""
     e = evaluate(picks, bars, horizon)
     now = [c for c in e.columns if c != "pick_id"]
     e = e.select("pick_id", *[C(c).alias(f"__{c}") for c in now])
     s = last.select(C("security_code").cast("string").alias("security_code"), "rsi", "supertrend_bullish", "price_above_50")
     j = picks.join(e, "pick_id", "left").join(s, "security_code", "left")
-    hit = C("__status").isNotNull()
-    new = {c: F.when(hit, C(f"__{c}")).otherwise(C(c)) for c in now} | {"signal_notes": F.when(hit, health_notes()).otherwise(C("signal_notes"))}
-    return _cast(j.withColumns(new), PICKS)
+    error = F.lit(None).cast("string")
+    if failed is not None:
+        j = j.join(failed.groupBy(C("security_code").cast("string").alias("security_code")).agg(F.min("error").alias("__error")), "security_code", "left")
+        error = F.when(C("status") == OPEN, C("__error"))
+    hit = C("__status").isNotNull() & error.isNull()
+    notes = F.when(error.isNotNull(), F.concat(F.lit("Update failed: "), error)).when(hit, health_notes()).otherwise(C("signal_notes"))
+    return _cast(j.withColumns({"signal_notes": notes} | {c: F.when(hit, C(f"__{c}")).otherwise(C(c)) for c in now}), PICKS)
+
+
+def recheck(picks: DataFrame, bars: DataFrame, cfg: Settings, failed: DataFrame | None = None) -> DataFrame:
+    """update() with signals made, without a benchmark, from the bars of securities with open picks alone."""
+    from barloom.operators.scan import signals
+
+    mine = picks.filter(C("status") == OPEN).select(C("security_code").cast(bars.schema["security_code"].dataType).alias("security_code")).distinct()
+    bars = bars.join(mine, "security_code", "left_semi")
+    last, _ = signals(bars, cfg, None)
+    return update(picks, bars, last, cfg["conviction"]["target_horizon_days"][1], failed)
+
+
+def by_date(picks: DataFrame) -> DataFrame:
+    """The picks logged last first; ties by pick."""
+    return picks.orderBy(F.desc("date_logged"), "pick_id")
 
 
 def win_rate(picks: DataFrame) -> DataFrame:

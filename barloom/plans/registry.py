@@ -14,7 +14,8 @@ from barloom.config import settings
 from barloom.functions import scalars, windows
 from barloom.operators import candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
 from barloom.plans import sql as Q
-from barloom.sources import tables
+from barloom.session import scratch
+from barloom.sources import fetched, tables
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,9 +604,7 @@ def _(spark, sf_dir):
     'No material deterioration flagged - setup still looks structurally intact.') AS signal_notes FROM pe JOIN pk USING (pick_id) JOIN snap ON snap.security_code = pk.code""",
 )
 def _(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    last, _ = scan.signals(b, CFG, None)
-    return tracking.update(picks(spark, sf_dir), b, last).select("pick_id", "status", "days_held", "signal_notes")
+    return tracking.recheck(picks(spark, sf_dir), bars(spark, sf_dir), CFG).select("pick_id", "status", "days_held", "signal_notes")
 
 
 @query("a13_win_rate", f"WITH {_PICKS} SELECT count_if(status = 'OPEN') AS n_open, count_if(status <> 'OPEN') AS n_closed, count_if(status = 'HIT_TARGET') AS n_target, count_if(status = 'HIT_STOPLOSS') AS n_stop, round(count_if(status = 'HIT_TARGET') * 100.0 / nullif(count_if(status LIKE 'HIT%'), 0), 1) AS win_rate_pct FROM pe")
@@ -806,6 +805,162 @@ def _(spark, sf_dir):
     return s.withColumn("info", F.from_json(F.unbase64("text").cast("string"), tables.QUOTE)).select("security_code", "info.marketCap", "info.trailingPE")
 
 
+@query(
+    "s05_fetch_or_cache",
+    f"""WITH {Q.TRADES}, u AS (SELECT s_suppkey AS k FROM supplier UNION SELECT -s_suppkey FROM supplier WHERE s_suppkey % 5 = 0) SELECT CAST(k AS VARCHAR) AS security_code, count(date) AS n_bars, CAST(min(date) AS DATE) AS first_date, CAST(max(date) AS DATE) AS last_date,
+    round(sum(close), 3) + 0.0 AS sum_close, CASE WHEN count(date) = 0 THEN 'no service' END AS error FROM u LEFT JOIN bars ON security_code = k GROUP BY k""",
+)
+def _(spark, sf_dir):
+    """Bars stored in a file a security and read back by key, with a row for each security that has none."""
+    home = scratch(spark, "bars")
+    fetched.write_files(bars(spark, sf_dir), home)
+    codes = [r[0] for r in tables.universe(spark, sf_dir).select("security_code").collect()]  # a universe of securities plans the read
+    df = fetched.history(spark, home, [*codes, *[-k for k in codes if k % 5 == 0]], partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    day = lambda f: f(C("date")).cast("date")
+    return df.groupBy("security_code").agg(F.count("date").alias("n_bars"), day(F.min).alias("first_date"), day(F.max).alias("last_date"), (F.round(F.sum("close"), 3) + 0.0).alias("sum_close"), F.max("error").alias("error"))
+
+
+@query(
+    "s06_outcomes",
+    f"""WITH {Q.TRADES}, n AS (SELECT security_code, count(*) AS n FROM bars GROUP BY 1) SELECT s_suppkey AS security_code, 'SYM' || s_suppkey AS tradingsymbol, CASE WHEN s_suppkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, s_suppkey % 4 <> 0 AND n IS NOT NULL AS ok,
+    CASE WHEN s_suppkey % 4 <> 0 THEN coalesce(n, 0) ELSE 0 END AS n_bars, CASE WHEN s_suppkey % 4 = 0 OR n IS NULL THEN 'no service' END AS error FROM supplier LEFT JOIN n ON security_code = s_suppkey WHERE s_suppkey % 3 <> 0""",
+)
+def _(spark, sf_dir):
+    """Of the resolved securities a quarter have no file."""
+    home = scratch(spark, "bars")
+    fetched.write_files(bars(spark, sf_dir).filter("security_code % 4 <> 0"), home)
+    mapping_ = tables.universe(spark, sf_dir).withColumn("resolved", C("security_code") % 3 != 0)
+    codes = [r[0] for r in mapping_.filter("resolved").select("security_code").collect()]
+    return fetched.outcomes(fetched.history(spark, home, codes, partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))), mapping_)
+
+
+_LISTED = "part QUALIFY row_number() OVER (PARTITION BY code ORDER BY p_partkey) = 1"
+
+
+def _csv(df: DataFrame, name: str) -> str:
+    """df as one CSV folder in its order."""
+    path = scratch(df.sparkSession, name)
+    tables.write_csv(df, path)
+    return path
+
+
+@query(
+    "s01_constituents",
+    rf"""WITH named0 AS (SELECT *, name AS nm FROM (SELECT p_partkey, p_brand AS code, p_name || ' (India) Ltd.' AS name, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS sector FROM part) QUALIFY row_number() OVER (PARTITION BY code ORDER BY p_partkey) = 1), {_NAME_KEYS}
+    SELECT code AS security_code, name AS company_name_raw, coalesce(sector, 'Unclassified') AS sector, k AS name_key, 'BY_CODE' AS universe FROM named""",
+)
+def _(spark, sf_dir):
+    """A list of codes written from parts; the first row of each code counts."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").coalesce(1)
+    rows = p.select(F.concat("p_name", F.lit(" (India) Ltd.")).alias("Constituents"), C("p_brand").alias("Symbol"), F.when(C("p_partkey") % 4 != 0, C("p_type")).alias("Macro-Economic Sector"))
+    return tables.constituents(spark, _csv(rows, "constituents"))
+
+
+@query(
+    "s02_symbol_constituents",
+    """SELECT code AS security_code, p_name AS company_name_raw, p_type AS sector, 'TOTAL' AS universe FROM (SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN p_brand || '-' || p_size END AS code FROM part) WHERE code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY p_partkey) = 1""",
+)
+def _(spark, sf_dir):
+    """A list of symbols; rows without one go."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").coalesce(1)
+    rows = p.select(C("p_name").alias("Company Name"), F.when(C("p_partkey") % 5 != 0, F.concat_ws("-", "p_brand", "p_size")).alias("Symbol"), C("p_type").alias("Industry"))
+    return tables.constituents(spark, _csv(rows, "symbols"), "BY_SYMBOL", "TOTAL").drop("name_key")
+
+
+@query("s03_instruments", """SELECT 'S' || p_partkey AS tradingsymbol, CAST(p_partkey AS VARCHAR) AS exchange_token, p_partkey + 2000000 AS instrument_token, p_name AS name, 'EQ' AS instrument_type FROM part WHERE p_partkey % 3 <> 0""")
+def _(spark, sf_dir):
+    return tables.instruments(spark, _csv(_dump_rows(spark, sf_dir), "dump")).drop("segment", "name_key")
+
+
+def _dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exchange's dump: two thirds equities, the rest indices."""
+    p, equity = spark.read.parquet(f"{sf_dir}/part.parquet"), C("p_partkey") % 3 != 0
+    return p.select(
+        F.concat(F.lit("S"), "p_partkey").alias("tradingsymbol"), C("p_partkey").cast("string").alias("exchange_token"), (C("p_partkey") + 2_000_000).alias("instrument_token"), C("p_name").alias("name"),
+        F.when(equity, "EQ").otherwise("IDX").alias("instrument_type"), F.when(equity, "NSE").otherwise("INDICES").alias("segment"),
+    )
+
+
+@query("s07_benchmark_token", "SELECT 'S' || max(p_partkey) AS tradingsymbol, max(p_partkey) + 2000000 AS instrument_token FROM part WHERE p_partkey % 3 = 0")
+def _(spark, sf_dir):
+    """The token of an index, looked up by its symbol."""
+    dump = _dump_rows(spark, sf_dir)
+    symbol = dump.filter("segment = 'INDICES'").agg(F.max_by("tradingsymbol", "instrument_token")).first()[0]
+    return spark.range(1).select(F.lit(symbol).alias("tradingsymbol"), F.lit(tables.benchmark_token(dump, symbol)).cast("long").alias("instrument_token"))
+
+
+@query("s11_theme_map", "SELECT CAST(s_suppkey AS VARCHAR) AS security_code, CAST(NULL AS VARCHAR) AS tradingsymbol, s_name AS company_name, CASE WHEN s_suppkey % 2 = 0 THEN 'Defence' ELSE 'Healthcare' END AS theme FROM supplier")
+def _(spark, sf_dir):
+    """A theme table without a symbol column."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return tables.theme_map(spark, _csv(s.select(C("s_suppkey").alias("security_code"), C("s_name").alias("company_name"), F.when(C("s_suppkey") % 2 == 0, "Defence").otherwise("Healthcare").alias("theme")), "themes"))
+
+
+@query("s16_csv_sink", f"{_SCAN} SELECT CAST(security_code AS VARCHAR) AS security_code, CAST(fail_reasons = '' AS VARCHAR) AS passes_all_filters, CAST(round(total, 1) + 0.0 AS DOUBLE) AS conviction_score FROM sc")
+def _(spark, sf_dir):
+    """The scan as written, read back as text but for the score."""
+    path = _csv(scanned(spark, sf_dir).result.select("security_code", "passes_all_filters", "conviction_score"), "scan")
+    return spark.read.option("header", True).csv(path).withColumn("conviction_score", C("conviction_score").cast("double"))
+
+
+@query("p06_candidates", f"{_SCAN} SELECT security_code FROM sc WHERE fail_reasons = ''")
+def _(spark, sf_dir):
+    return scan.candidates(scanned(spark, sf_dir).result).select("security_code")
+
+
+@query("p14_shown", f"{_SCAN} SELECT security_code, conviction_tier, sector FROM sc")
+def _(spark, sf_dir):
+    """Wanted columns that a result doesn't have are left out."""
+    return scan.shown(scanned(spark, sf_dir).result, ["security_code", "theme", "conviction_tier", "peg", "sector"])
+
+
+@query("j10_annotate", f"{_SCAN}, {_QUOTES} SELECT security_code, CASE WHEN security_code % 3 <> 0 THEN market_cap_ok END AS market_cap_ok, CASE WHEN security_code % 3 <> 0 THEN roe_ok END AS roe_ok FROM sc LEFT JOIN fund USING (security_code)")
+def _(spark, sf_dir):
+    """Screens are written on passing rows only."""
+    checked = quality.fundamentals(quality.fundamentals_metrics(quotes(spark, sf_dir)), CFG)
+    return quality.annotate(_some_pass(spark, sf_dir), checked, ["market_cap_ok", "roe_ok"]).select("security_code", "market_cap_ok", "roe_ok")
+
+
+@query("t07_picks_by_date", f"WITH {_PICKS} SELECT pick_id, logged AS date_logged, CAST(row_number() OVER (ORDER BY logged DESC, pick_id) AS BIGINT) AS place FROM pk")
+def _(spark, sf_dir):
+    ordered = tracking.by_date(picks(spark, sf_dir)).select("pick_id", "date_logged")
+    return running_place(ordered)
+
+
+def running_place(ordered: DataFrame) -> DataFrame:
+    """The place of each row of an ordered frame: rows of the partitions before, and the rows before within its own."""
+    from pyspark.sql import Window
+
+    rows = ordered.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy("__i")))
+    sizes = rows.groupBy("__p").agg(F.max("__n").alias("__s"))
+    before = sizes.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - C("__s")).alias("__b"))
+    return rows.join(before, "__p").select(*ordered.columns, (C("__b") + C("__n")).cast("long").alias("place"))
+
+
+@query(
+    "k02_failed_picks",
+    f"""WITH RECURSIVE {_PICKS} SELECT pk.pick_id, CASE WHEN code % 4 = 0 THEN 'OPEN' ELSE pe.status END AS status, CASE WHEN code % 4 = 0 THEN NULL ELSE pe.days_held END AS days_held, code % 4 = 0 AS noted FROM pk LEFT JOIN pe USING (pick_id)""",
+)
+def _(spark, sf_dir):
+    """Securities without bars: their picks note the error and stay as they are, the others go on."""
+    p, b = picks(spark, sf_dir), bars(spark, sf_dir)
+    gone = tables.universe(spark, sf_dir).filter("security_code % 4 = 0").select("security_code", F.lit("no service").alias("error"))
+    after = tracking.recheck(p, b.filter("security_code % 4 <> 0"), CFG, gone)
+    return after.select("pick_id", "status", "days_held", (C("signal_notes") == "Update failed: no service").alias("noted"))
+
+
+_GAPS = "gb AS (SELECT * FROM bench WHERE day(date) % 7 <> 0), ga AS (SELECT b.security_code, b.date, b.close, last_value(g.bench_close IGNORE NULLS) OVER (PARTITION BY b.security_code ORDER BY b.date) AS bench_close FROM bars b LEFT JOIN gb g USING (date))"
+
+
+@query("j05_benchmark_gaps", f"WITH {Q.TRADES}, {Q.BENCH}, {_GAPS} SELECT security_code, date, round(bench_close, 7) + 0.0 AS bench_close, round(close / bench_close, 4) + 0.0 AS rs_line FROM ga")
+def _(spark, sf_dir):
+    """A benchmark without every seventh day of the month: its last value is carried over."""
+    b = bars(spark, sf_dir)
+    r = indicators.with_benchmark(b, tables.benchmark(b).filter(F.day("date") % 7 != 0))
+    return r.select("security_code", "date", F.round("bench_close", 7).alias("bench_close"), F.round("rs_line", 4).alias("rs_line"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked, explained screen."""
     return scan.ranked(scanned(spark, sf_dir).result)

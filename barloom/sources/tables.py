@@ -42,8 +42,9 @@ def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark(bars: DataFrame) -> DataFrame:
-    """Each date's mean close."""
-    return bars.groupBy("date").agg(F.avg("close").alias("bench_close"))
+    """Each date's mean close, summed as decimals: the same in every order of the bars."""
+    mean = F.sum(F.col("close").cast("decimal(38,14)")).cast("double") / F.count("close")
+    return bars.groupBy("date").agg(F.when(F.count("close") > 0, mean).alias("bench_close"))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import DEFAULTS, overlay, settings
 from barloom.functions import scalars, windows
-from barloom.operators import candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
+from barloom.operators import asof, candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
 from barloom.sources import state, tables
 
 C = F.col
@@ -320,3 +320,67 @@ def test_radar_marks_short_series(spark):
     dims = spark.createDataFrame([("1", "One", "S", "U", "ONE", "NSE", 1)], "security_code string, company_name_raw string, sector string, universe string, tradingsymbol string, exchange string, instrument_token long")
     r = timeframes.radar(bars(spark, wave(40)), dims, settings()).first()
     assert r.monthly_insufficient_data and r.monthly_rsi is None and not r.daily_insufficient_data and r.daily_bars_available == 40
+
+
+def test_asof_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    left = [(c, k, day(rng.randrange(60)) if k % 9 else None) for c in "aab" for k in range(40)]
+    right = [(c, day(rng.randrange(0, 60, 3)), float(rng.randrange(100))) for c in "ac" for _ in range(15)]
+    frames = spark.createDataFrame(left, "code string, n int, at date"), spark.createDataFrame(right, "code string, day date, v double")
+    for direction in ("backward", "forward"):
+        for tolerance in (None, 2):
+            got = asof.asof(*frames, ["code"], "at", "day", ["day", "v"], direction, None if tolerance is None else F.lit(tolerance))
+            want = []
+            for c, k, t in left:
+                near = [(d, v) for x, d, v in right if x == c and t is not None and ((d <= t) if direction == "backward" else (d >= t)) and (tolerance is None or abs((d - t).days) <= tolerance)]
+                want.append((c, k, t, *((max(near) if direction == "backward" else min(near)) if near else (None, None))))
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_many_picks_of_a_security_match_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    closes = [100.0]
+    for _ in range(400):
+        closes.append(closes[-1] * (1 + rng.gauss(0, 0.02)))
+    b = bars(spark, closes)
+    rows = [tuple(r) for r in b.orderBy("date").select("date", "high", "low", "close").collect()]
+    picks = [(f"p{k}", "1", rows[rng.randrange(len(rows))][0] - dt.timedelta(days=rng.randrange(3)), 100.0, 100.0 - rng.random() * 60, 100.0 + rng.random() * 90, "OPEN") for k in range(300)]
+    picks.append(("none", "1", rows[-1][0], 1.0, 0.5, None, "OPEN"))
+    frame = spark.createDataFrame(picks, "pick_id string, security_code string, date_logged date, entry_price double, stop_loss double, target double, status string")
+    want = {}
+    for name, _, day, _, stop, target, _ in picks:
+        later = [r for r in rows if r[0] > day]
+        hit = next(((k + 1, "HIT_STOPLOSS" if low <= stop else "HIT_TARGET", d) for k, (d, high, low, _) in enumerate(later) if low <= stop or target is not None and high >= target), None)
+        end = (15, "EXPIRED", later[14][0]) if len(later) >= 15 else (len(later), "OPEN", None)
+        if later:
+            want[name] = hit or end
+    got = {r.pick_id: (r.days_held, r.status, r.exit_date) for r in tracking.evaluate(frame, b, 15, block=16).collect()}
+    assert got == want and len({s for _, s, _ in want.values()}) >= 3
+
+
+def test_a_failed_pick_only_notes_the_error(spark):
+    b = bars(spark, wave(80), code="1").unionByName(bars(spark, wave(80), code="2"))
+    day = dt.date(2024, 2, 1)
+    p = tables.with_columns(spark.createDataFrame([("x", "1", day, 100.0, 1.0, 999.0, "OPEN", "old"), ("y", "2", day, 100.0, 1.0, 999.0, "OPEN", ""), ("z", "1", day, 1.0, 1.0, 2.0, "EXPIRED", "shut")], "pick_id string, security_code string, date_logged date, entry_price double, stop_loss double, target double, status string, signal_notes string"), tracking.PICKS)
+    failed = spark.createDataFrame([("1", "no answer")], "security_code string, error string")
+    got = {r.pick_id: (r.status, r.signal_notes) for r in tracking.recheck(p, b, settings(), failed).collect()}
+    assert got["x"] == ("OPEN", "Update failed: no answer") and got["z"] == ("EXPIRED", "shut") and got["y"][0] == "EXPIRED" and got["y"][1] != ""
+    assert [r.pick_id for r in tracking.by_date(p).collect()] == ["x", "y", "z"]
+
+
+def test_queries_answer_from_the_table_as_it_is(spark, sf, tmp_path):
+    """No query keeps anything in the session."""
+    from barloom.plans import registry
+
+    path = str(tmp_path / "lineitem.parquet")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.write.parquet(path)
+    before = registry.queries()["s05_bars"](spark, str(tmp_path)).count()
+    lines.limit(100).write.mode("overwrite").parquet(path)
+    assert registry.queries()["s05_bars"](spark, str(tmp_path)).count() <= 100 < before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
