@@ -25,17 +25,17 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, parts:
     return light.unionByName(rows.join(heavy, key))
 
 
-def components(links: DataFrame, parts: int | None = None, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the least node that links reach.
 
     Large-star: every larger neighbour of u moves to u's least neighbour; small-star: u and its smaller
     neighbours move to the least of them. Neighbour lists are never gathered: minima are pre-aggregated,
-    and those of nodes with many neighbours are broadcast to them. Ends when the links no longer change. What is written
-    in between has at most `parts` partitions.
+    and those of nodes with many neighbours are broadcast to them. Ends when the links no longer change, which takes about
+    the logarithm of the longest path's length in rounds, squared at most. What is written in between has at most `parts` partitions.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), parts)
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("w"))
         large = spread_join(both.filter("v > u"), least, "u", "w", parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -47,6 +47,4 @@ def components(links: DataFrame, parts: int | None = None, rounds: int = 60) ->
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())

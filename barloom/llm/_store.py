@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +52,20 @@ def few(df: DataFrame) -> int:
     return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(4, input_bytes(df) >> 24))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Holds Arrow batches of this session to `rows` rows from now on (frames run later): a batch of whole texts,
-    or of two texts a row, then stays at a few megabytes in every Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Holds Arrow batches of this session to `rows` rows and about `size` bytes from now on (frames run later, so the
+    setting stays): a batch of whole texts, however long, or of two texts a row, then stays small in every Python worker;
+    a longer text is a batch of its own."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = _bytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A number, or a size such as 64MB."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 0
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -66,3 +75,16 @@ def input_bytes(df: DataFrame) -> int:
     if guess < 1 << 50:
         return guess
     return (df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 2
+
+
+def own_names(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that give documents back with their columns: whatever these are called, inside they have names that
+    clash with none of the operator's."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *more, **named) -> DataFrame:
+        names = docs.columns
+        inside = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"own{k}" for k, c in enumerate(names)])
+        return f(inside, *more, **named).toDF(*names)
+
+    return run

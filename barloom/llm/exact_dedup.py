@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from barloom.llm import _sketch
 from barloom.llm._components import spread_join
-from barloom.llm._store import cut, text_batches
+from barloom.llm._store import cut, own_names, text_batches
 
 MAX_BITS = 1 << 27
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,6 +86,7 @@ def mark(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return alone.unionByName(joined)
 
 
+@own_names
 def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that `mark` drops, columns unchanged.
 

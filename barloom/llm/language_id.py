@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: a cell is a bitmask with one bit a language, an n-gram
-sets its languages' bits in `HASHES` cells, and a lookup's AND of these cells gives every language that
+One bit-sliced Bloom filter serves all languages: a cell is a bitmask with one bit a language (in as many 64-bit words as
+they need), an n-gram sets its languages' bits in `HASHES` cells, and a lookup's AND of these cells gives every language that
 has the n-gram (and perhaps some that don't). N-grams are byte n-grams of letter runs with their ends
 marked. A language has an n-gram when its documents show it twice or more and at no less than `RATIO` of
 the largest relative frequency among all languages, so stray foreign words and noise set no bits.
@@ -11,8 +11,7 @@ for that language's false-positive rate f (its bits' density to the power HASHES
 The language of the largest p wins, ties to the first in order; the score is that p over the sum of the
 two largest.
 
-Bounds: fitted on at most about `max_rows` labelled rows, dealt evenly to languages (whole texts); at
-most 64 languages, one bit each. Prediction reads every n-gram of every text.
+Bounds: fitted on at most about `max_rows` labelled rows, dealt evenly to languages (whole texts). Prediction reads every n-gram of every text.
 
 Defined results: null texts and texts without a letter give `und` and score 0; a text whose n-grams are
 all unknown gives the language with most training rows and score 0; rows with null lang or text train
@@ -69,25 +68,34 @@ def _has_letter(text: np.ndarray) -> bool:
 
 
 class Filters:
-    """The bit-sliced filters; `languages` in the order of their bits."""
+    """The bit-sliced filters; `languages` in the order of their bits, 64 in each column of masks and cells."""
 
     def __init__(self, languages: list[str], keys: np.ndarray, masks: np.ndarray, fallback: str) -> None:
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(64, len(languages)))
         self.languages, self.fallback = languages, fallback
-        self.cells = np.zeros(1 << max(12, int(8 * max(1, len(keys)) - 1).bit_length()), kind)
+        self.words = max(1, -(-len(languages) // 64))
+        self.cells = np.zeros((self.words, 1 << max(12, int(8 * max(1, len(keys)) - 1).bit_length())), kind)
+        masks = masks.reshape(len(keys), self.words).astype(kind)
         for at in self._at(keys):
-            np.bitwise_or.at(self.cells, at, masks.astype(kind))
-        self.false_rate = np.array([((self.cells >> kind(k)) & kind(1)).mean() for k in range(len(languages))]) ** HASHES
+            for w in range(self.words):
+                np.bitwise_or.at(self.cells[w], at, masks[:, w])
+        self.false_rate = np.array([self._bit(self.cells, k).mean() for k in range(len(languages))]) ** HASHES
+
+    @staticmethod
+    def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+        """The bit of language k in masks, which have one row for every 64 languages."""
+        row = masks[k // 64]
+        return (row >> row.dtype.type(k % 64)) & row.dtype.type(1)
 
     def _at(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        bits = U(len(self.cells).bit_length() - 1)
+        bits = U(self.cells.shape[1].bit_length() - 1)
         for k in range(HASHES):
             yield ((keys * U(_words.BASES[k])) >> (U(64) - bits)).astype(np.int64)
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         out = None
         for at in self._at(keys):
-            out = self.cells[at] if out is None else out & self.cells[at]
+            out = self.cells[:, at] if out is None else out & self.cells[:, at]
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -100,9 +108,9 @@ class Filters:
                 for row, a, b in spans:
                     for _, keys in _grams(data, a, b):
                         m = self.masks(keys)
-                        total[row] += len(m)
+                        total[row] += len(keys)
                         for k in range(count):
-                            hits[row, k] += np.count_nonzero((m >> m.dtype.type(k)) & m.dtype.type(1))
+                            hits[row, k] += np.count_nonzero(self._bit(m, k))
                 continue
             base = int(offsets[lo])
             for at, keys in _grams(data, base, int(offsets[hi])):
@@ -110,7 +118,7 @@ class Filters:
                 first = np.searchsorted(at, offsets[lo : hi + 1] - base)
                 total[lo:hi] += np.diff(first)
                 for k in range(count):
-                    sums = np.concatenate([[0], np.cumsum((m >> m.dtype.type(k)) & m.dtype.type(1), dtype=np.int64)])
+                    sums = np.concatenate([[0], np.cumsum(self._bit(m, k), dtype=np.int64)])
                     hits[lo:hi, k] += np.diff(sums[first])
         share = np.clip((hits / np.maximum(total, 1)[:, None] - self.false_rate) / (1 - np.minimum(self.false_rate, 0.999)), 0, 1)
         names, scores = [], np.zeros(rows)
@@ -134,9 +142,6 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
     if not count:
         return None
     languages = sorted(count)
-    if len(languages) > 64:  # a bitmask holds 64: the most frequent ones are learned
-        languages = sorted(sorted(count, key=lambda x: (-count[x], x))[:64])
-        rows = rows.filter(F.col("lang").isin(*languages))
     number = {lang: k for k, lang in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, max_rows / len(languages) / count[lang]))])
 
@@ -170,9 +175,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     most = np.maximum.reduceat(rate, first)[np.cumsum(new) - 1] if len(key) else rate
-    bit = np.where((n >= 2) & (rate >= RATIO * most), U(1) << lang.astype(U), U(0))
-    masks = np.bitwise_or.reduceat(bit, first) if len(key) else bit
-    some_bits = masks != 0
+    seen = (n >= 2) & (rate >= RATIO * most)
+    masks = np.zeros((len(first), -(-len(languages) // 64)), U)
+    np.bitwise_or.at(masks, ((np.cumsum(new) - 1)[seen], lang[seen] // 64), U(1) << (lang[seen] % 64).astype(U))
+    some_bits = masks.any(1)
     return Filters(languages, key[first][some_bits], masks[some_bits], max(languages, key=lambda x: (count[x], x)))
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
 from barloom.llm._components import components, spread_join
-from barloom.llm._store import cut, few, input_bytes, text_batches
+from barloom.llm._store import cut, few, input_bytes, own_names, text_batches
 
 N = 5
 PERCENT = 80
@@ -768,6 +768,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return joined.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "rep", "id")).alias("component_id"))
 
 
+@own_names
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the least doc_id (null as the largest; then any, the same in every
     run); every column stays. Rows are told by a 64-bit hash of doc_id and text, so null and repeated ids join nothing;

@@ -246,7 +246,8 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = THREADS, ve
 
 
 def decode(coded: DataFrame, model: str | None = None, threads: int = THREADS) -> DataFrame:
-    """coded with its column `ids` decoded into a column `text`; null ids give null."""
+    """coded with its column `ids` decoded into a last column `text`, in place of one of that name; null ids give null."""
+    coded = coded.drop("text")
     path, names = _path(model), [*coded.columns, "text"]
     at = coded.columns.index("ids")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._store import cut, input_bytes, text_batches
+from barloom.llm._store import cut, input_bytes, own_names, text_batches
 
 SIZE = 50
 MAX_BITS = 1 << 29
@@ -260,6 +260,7 @@ def digest(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataF
     return _marked(_keyed(docs), marks(docs, size, max_bits)).select("__id", "__text", "__runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+@own_names
 def remove(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with repeated passages cut from `text` (and `n_chars` brought up to date where it exists).
 

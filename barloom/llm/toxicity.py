@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import cut, even, text_batches
+from barloom.llm._store import cut, even, own_names, text_batches
 
 MAX_ROWS = 4000
 WINDOW = 16
@@ -205,6 +205,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+@own_names
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows predicted toxic; every column stays."""
     text_batches(docs.sparkSession)

@@ -500,3 +500,68 @@ def test_filters_never_forget_an_ngram():
     masks = np.array([1 << (k % 5) for k in range(5000)], np.uint64)
     f = language_id.Filters(list("abcde"), keys, masks, "a")
     assert ((f.masks(keys).astype(np.uint64) & masks) == masks).all() and f.false_rate.max() < 0.01
+
+
+def letters(k):
+    return "".join("bcdfghjklmnp"[int(c)] + "aeiou"[(k + j) % 5] for j, c in enumerate(f"{k * 7919:06d}"))
+
+
+def test_more_languages_than_a_mask_word_has_bits(spark):
+    rows = [(k * 3 + j, " ".join(letters(k * 40 + w) for w in range(30)), f"l{k:03d}") for k in range(70) for j in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict(frame, language_id.fit(frame)).collect()
+    want = {i: la for i, _, la in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.98 * len(rows) and len({r.lang_pred for r in got}) >= 68
+
+
+def test_language_scores_match_plain_sets(spark, sf):
+    """Masks, popcounts and scores by sets of n-grams, where the filter has no false positive in the texts asked."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL")
+    filters = language_id.fit(frame)
+    counts, docs_ = defaultdict(Counter), frame.collect()
+    grams = lambda t: [int(k) for _, keys in language_id._grams(np.frombuffer(t.encode(), np.uint8), 0, len(t.encode())) for k in keys]
+    for r in docs_:
+        counts[r.lang].update(grams(r.text))
+    totals = {}
+    kept = {k for k in {k for c in counts.values() for k in c} if max(c[k] for c in counts.values()) >= 2}
+    for la, c in counts.items():
+        totals[la] = max(1, sum(n for k, n in c.items() if k in kept))
+    knows = {la: {k for k in kept if c[k] >= 2 and c[k] / totals[la] >= language_id.RATIO * max(d[k] / totals[x] for x, d in counts.items())} for la, c in counts.items()}
+    asked = docs_[::17]
+    for r in asked:
+        g = grams(r.text)
+        if not g:
+            continue
+        masks = filters.masks(np.array(g, np.uint64))
+        names, scores = filters.predict(pa.array([r.text]))
+        share = []
+        for k, la in enumerate(filters.languages):
+            found = filters._bit(masks, k).astype(bool)
+            assert all(found[i] for i, x in enumerate(g) if x in knows[la])  # the filter forgets nothing
+            hits = sum(x in knows[la] for x in g)
+            assert abs(int(found.sum()) - hits) <= 0.02 * len(g) + 2
+            share.append(max(0.0, (found.sum() / len(g) - filters.false_rate[k]) / (1 - filters.false_rate[k])))
+        best = int(np.argmax(share))
+        assert names == [filters.languages[best]] and abs(scores[0] - share[best] / sum(sorted(share)[-2:])) < 1e-9
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, ngram_join.representatives, substring_dedup.remove, lambda d: toxicity.reject(d, toxicity.Model(constant=0.0))])
+def test_columns_of_any_name_come_back(spark, drop):
+    names = ["__id", "__row", "__runs", "__digest", "__sum", "__gone", "__node", "node", "component_id", "own0", "key", "bits", "least", "w", "a", "b", "rep", "__text", "r"]
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate([base, base, base + " tail", "alone", None, ""])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = drop(frame).collect()
+    assert got and got[0].__fields__ == ["doc_id", "text", *names]
+    for r in got:
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+
+
+def test_decoding_replaces_a_text_column(spark):
+    coded = sentence_pieces.encode(docs(spark, ["one two", None])).withColumn("text", F.lit("old"))
+    assert sorted(r.text for r in sentence_pieces.decode(coded).collect()) == ["", "one two"]
+
+
+def test_long_chains_settle(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r.root for r in components(links).collect()} == {0}
