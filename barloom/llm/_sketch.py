@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm._store import lean
 from barloom.llm._words import mix
 
 U = np.uint64
@@ -57,6 +58,7 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], width: in
     """The merged sketch of keys(batch) over all batches of df, broadcast as packed bits by block."""
     spark = df.sparkSession
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -78,6 +80,7 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], width: in
                 held, total = [], 0
         yield from out()
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

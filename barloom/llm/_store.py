@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +77,28 @@ def input_bytes(df: DataFrame) -> int:
     return (df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 2
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For functions over Arrow batches: a Python worker outlives its task, and what the task has freed goes back to the
+    machine when it ends, not only when the worker does."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return run
+
+
 def own_names(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For operators that give documents back with their columns: whatever these are called, inside they have names that
     clash with none of the operator's."""

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from barloom.llm import _sketch
 from barloom.llm._components import spread_join
-from barloom.llm._store import cut, own_names, text_batches
+from barloom.llm._store import cut, lean, own_names, text_batches
 
 MAX_BITS = 1 << 27
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,6 +43,7 @@ def _sums(texts: pa.Array) -> pa.Array:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([part.column(0), _sums(part.column(1))], ["doc_id", "text_sha256"])
@@ -54,6 +55,7 @@ def _with_digest(docs: DataFrame) -> DataFrame:
     """docs and the digest of every row as __digest."""
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([*part.columns, _sums(part.column(at))], [*part.schema.names, "__digest"])
@@ -73,6 +75,7 @@ def mark(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     width = _sketch.width_for(rows.count() * 8, max_bits)
     seen = _sketch.build(rows.select("text_sha256"), lambda part: _keys(part, 0), width)
 
+    @lean
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             maybe = _sketch.repeated(seen.value, _keys(part, 1), width)

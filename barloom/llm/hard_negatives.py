@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._store import cut, even
+from barloom.llm._store import cut, even, lean
 
 C = F.col
 SAMPLE, CELLS, SHARD, LEAF, BLOCK = 4096, 256, 32_768, 64, 256
@@ -201,10 +201,12 @@ def index(rows: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> Index:
     tree = Tree(x, m2, max(1, math.ceil(len(x) / cells)))
     held = spark.sparkContext.broadcast(tree)
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.route(matrix(part.column(2), dims)), pa.int32())], [*part.schema.names, "cell"])
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, low, high = held.value, {}, {}
         for part in batches:
@@ -238,6 +240,7 @@ def _aimed(asks: DataFrame, at: Index, first: bool) -> DataFrame:
     total, of = int(at.shards.sum()), np.repeat(np.arange(len(at.shards)), at.shards)
     few, tree, dims = max(1, math.isqrt(total)), asks.sparkSession.sparkContext.broadcast(at.tree), at.dims
 
+    @lean
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             x = matrix(part.column(2), dims)
@@ -272,6 +275,7 @@ def _searched(asks: DataFrame, at: Index, k: int, same: bool) -> DataFrame:
     both = both.repartition(max(at.parts, min(2 * at.parts, int(at.shards.sum()))), "shard").sortWithinPartitions("shard", "asks", "id")
     dims = at.dims
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, shard = None, [], None
         for part in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm._components import spread_join
-from barloom.llm._store import text_batches
+from barloom.llm._store import lean, text_batches
 
 VOTES = 3
 PATHS = 5
@@ -241,6 +241,7 @@ def _hosted(pages: DataFrame) -> DataFrame:
 def host_paths(pages: DataFrame) -> DataFrame:
     """(__host, paths): each host's paths by votes, PATHS at most, those with a tenth of the first one's votes at least."""
 
+    @lean
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = []
@@ -263,6 +264,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             got = [Page(html.as_py() or "").text(paths.as_py() or []) for html, paths in zip(part.column(2), part.column(3), strict=True)]

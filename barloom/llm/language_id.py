@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import even, text_batches
+from barloom.llm._store import even, lean, text_batches
 
 MAX_ROWS = 12_000
 SIZES = (3, 5)
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
     number = {lang: k for k, lang in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, max_rows / len(languages) / count[lang]))])
 
+    @lean
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             data, offsets = _words.buffers(part.column(0))
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Filters | None:
     counts = some.mapInArrow(tally, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("seen")).filter("exists(seen, x -> x.n >= 2)")
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([part.column(1).to_numpy().tobytes()]), pa.array([part.column(2).to_numpy().tobytes()])], ["key", "lang", "n"])
@@ -187,6 +189,7 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
     text_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(filters)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             names, scores = given.value.predict(part.column(1)) if given.value else (["und"] * len(part), np.zeros(len(part)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._store import cut
+from barloom.llm._store import cut, lean
 
 C = F.col
 U = np.uint64
@@ -93,6 +93,7 @@ def index(docs: DataFrame, queries: DataFrame | None = None, max_bits: int = 1 <
         width = _sketch.width_for(asked.count() * 8, max_bits)
         seen = _sketch.build(asked, lambda part: np.repeat(_hash_of(part.column(0)), 2), width)
 
+    @lean
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -185,6 +186,7 @@ def _written(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
 def query_terms(queries: DataFrame) -> DataFrame:
     """item_id, term (28-byte key), times: the terms of each query, repeats counted."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             hashed, spans, row, _ = term_keys(part.column(1))
@@ -283,6 +285,7 @@ def _asked(corpus: Corpus, queries: Broadcast, k: int) -> DataFrame:
     """item_id, doc_id, score: the k best of each task's shards for one block of queries."""
     counts = corpus._replace(postings=None)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: list[list[tuple[int, int]]] = [[] for _ in queries.value]
         now, shard = None, Shard(counts)

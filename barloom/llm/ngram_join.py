@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
 from barloom.llm._components import components, spread_join
-from barloom.llm._store import cut, few, input_bytes, own_names, text_batches
+from barloom.llm._store import cut, few, input_bytes, lean, own_names, text_batches
 
 N = 5
 PERCENT = 80
@@ -131,6 +131,7 @@ def _measured(keyed: DataFrame, width: int) -> DataFrame:
             cell, n = np.unique(at, return_counts=True)
             table[cell] = np.minimum(table[cell].astype(np.int64) + n, 65535).astype(np.uint16)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 * width, np.uint16)
         held: list[np.ndarray] = []
@@ -164,6 +165,7 @@ def _frequencies(measured: DataFrame, width: int) -> tuple[Broadcast, float]:
 
     spark, block = measured.sparkSession, min(FREQUENCY_BLOCK, 2 * width)
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(block, np.int64)
         for part in batches:
@@ -402,6 +404,7 @@ def _routed(keyed: DataFrame, reps: DataFrame, measured: DataFrame, cells: int,
     seen = _sketch.build(keyed, firsts, width)
     buckets = max(16, guess >> 25)
 
+    @lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         done: set[tuple] = set()
@@ -516,12 +519,14 @@ def _possible(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     parts = few(docs)
     keep = _filter(_both(pairs, parts))
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             part = keep(part)
             got = [(len(s), parities(s)) for s in _sets(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], ["id", "n", "bits"])
 
+    @lean
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             na, nb, x, y = (part.column(i).to_pylist() for i in range(2, 6))
@@ -561,6 +566,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     members = cut(jobs.select("job", F.explode(F.array("a", "b")).alias("id")).distinct(), small)
     keep = _filter(members.select("id").distinct())
 
+    @lean
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield keep(part)
@@ -569,6 +575,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     texts = docs.mapInArrow(wanted, "id long, text string").hint("merge").join(members, "id").select("job", F.col("id").alias("a"), none.cast("long").alias("b"), "text")
     rows = texts.unionByName(jobs.withColumn("text", none.cast("string")))
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for part in batches:
@@ -596,6 +603,7 @@ def _roots(known: DataFrame) -> Broadcast:
     if share > 1:
         known = known.filter(F.pmod(F.xxhash64("s1"), F.lit(share)) == 0)
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in part.columns], ["sigs", "roots"])
@@ -633,6 +641,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     weights = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     routed = _routed(keyed, reps, measured, cells, parts)
 
+    @lean
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for _, *raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -663,6 +672,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     together = _roots(known.filter("root = last AND n > 0").select("s1", "root"))
     known = known.select("s1", "root")
 
+    @lean
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of every tree the sets with a pair that passes the bound and isn't known to lie within a component, dealt anew
         by the least of them: trees of one group of near copies meet in few buckets, where a pair is found once."""
@@ -698,12 +708,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     homes = max(64, input_bytes(docs) >> 23)
     opened = cut(routed.mapInArrow(trim, _WIRE).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _WIRE))
 
+    @lean
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for bucket, _, sig, *_ in _unpack(part):
                 sig = np.unique(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), bucket, np.int32)), pa.array(sig)], ["bucket", "s1"])
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
@@ -728,6 +740,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rooted = opened.mapInArrow(members, "bucket int, s1 long").join(known, "s1").select("bucket", "s1", "root")
     rooted = rooted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(pack, "bucket int, sigs binary, roots binary")
 
+    @lean
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             sigs, roots = part.column(7).to_pylist(), part.column(8).to_pylist()

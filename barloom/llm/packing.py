@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._store import text_batches
+from barloom.llm._store import lean, text_batches
 
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -153,6 +153,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
     end = end_id.to_bytes(4, "little")
     text_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids

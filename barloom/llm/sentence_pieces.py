@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._store import text_batches
+from barloom.llm._store import lean, text_batches
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
@@ -232,6 +232,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = THREADS, ve
     path = _path(model)
     text_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(path, threads)
         for part in batches:
@@ -251,6 +252,7 @@ def decode(coded: DataFrame, model: str | None = None, threads: int = THREADS) -
     path, names = _path(model), [*coded.columns, "text"]
     at = coded.columns.index("ids")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(path, threads)
         for part in batches:
@@ -272,6 +274,7 @@ def digest(docs: DataFrame, model: str | None = None, threads: int = THREADS) ->
     path = _path(model)
     text_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, original = _loaded(path, threads), _original(path)
         for part in batches:

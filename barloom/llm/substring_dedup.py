@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _sketch, _words
-from barloom.llm._store import cut, input_bytes, own_names, text_batches
+from barloom.llm._store import cut, input_bytes, lean, own_names, text_batches
 
 SIZE = 50
 MAX_BITS = 1 << 29
@@ -127,6 +127,7 @@ def marks(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, guess // (1 << 21), 8)
 
+    @lean
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
@@ -179,6 +180,7 @@ def marks(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFr
         if count:
             yield from out()
 
+    @lean
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
@@ -247,6 +249,7 @@ def _marked(rows: DataFrame, found: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, size: int = SIZE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), by document row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 

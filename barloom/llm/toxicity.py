@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import _words
-from barloom.llm._store import cut, even, own_names, text_batches
+from barloom.llm._store import cut, even, lean, own_names, text_batches
 
 MAX_ROWS = 4000
 WINDOW = 16
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     share = {k: min(1.0, max_rows / n) for k, n in count.items()}
     some = known.filter(even("doc_id") <= F.when(F.col("label"), share[True]).otherwise(share[False]))
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             words = pa.array([w.tobytes() for w in _codes(part.column(2))], pa.binary())
@@ -151,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(text.join(F.broadcast(some), "doc_id").select(fold, "label", "text").mapInArrow(code, "fold int, label boolean, words binary"))
 
+    @lean
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for label, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -167,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if not extras:
         return Model(constant=count[True] / total)
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, toxic = _compressor(base), [_compressor(base + x) for x in extras]
         for part in batches:
@@ -196,6 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = given.value.scorer()
         for part in batches:
@@ -213,6 +217,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.schema
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = given.value.scorer()
         for part in batches:
