@@ -22,7 +22,7 @@ from barloom.llm._words import mix
 
 U = np.uint64
 BLOCK = 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def width_for(expected: int, max_bits: int) -> int:
