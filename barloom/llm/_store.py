@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +77,34 @@ def input_bytes(df: DataFrame) -> int:
     return (df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 2
 
 
+#: What Python workers keep from task to task: module -> functions that let it go.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def kept_in_worker(f: Callable) -> Callable:
+    """A cached function whose values stay in a Python worker while it runs tasks of the function's own module."""
+    out = lru_cache(maxsize=2)(f)
+    _KEPT.setdefault(f.__module__, []).append(out.cache_clear)
+    return out
+
+
+def let_go(module: str) -> None:
+    """Clears what other modules keep in this worker."""
+    for other, clear in _KEPT.items():
+        if other != module:
+            for c in clear:
+                c()
+
+
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """For functions over Arrow batches: a Python worker outlives its task, and what the task has freed goes back to the
-    machine when it ends, not only when the worker does."""
+    """For functions over Arrow batches: a Python worker outlives its task. What other operators keep in it goes when a task
+    of this one begins, and what the task has freed goes back to the machine when it ends."""
 
     @wraps(f)
     def run(batches: Iterator) -> Iterator:
+        from barloom.llm import _store
+
+        _store.let_go(f.__module__)
         try:
             yield from f(batches)
         finally:

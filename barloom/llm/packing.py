@@ -16,7 +16,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._store import lean, text_batches
+from barloom.llm._store import kept_in_worker, lean, text_batches
 
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -115,7 +114,7 @@ class Encoder:
             return self.whole(text)
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def encoder(path: str) -> Encoder:
     """One encoder, with its words, for all tasks of a Python worker."""
     return Encoder(path)

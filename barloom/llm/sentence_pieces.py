@@ -22,14 +22,13 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._store import lean, text_batches
+from barloom.llm._store import kept_in_worker, lean, text_batches
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
@@ -204,7 +203,7 @@ def little_endian(ids: bytes) -> bytes:
     return ids if sys.byteorder == "little" else np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def _loaded(path: str, threads: int) -> Coder:
     """One coder, with its words, for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -212,7 +211,7 @@ def _loaded(path: str, threads: int) -> Coder:
     return Coder(path)
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def _original(path: str):
     import sentencepiece
 
