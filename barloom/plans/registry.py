@@ -5,6 +5,7 @@ Series are compared at 3 decimals (prices) or 4, computed by both engines from t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from barloom.functions import scalars, windows
 from barloom.operators import candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
 from barloom.plans import sql as Q
 from barloom.session import scratch
-from barloom.sources import fetched, tables
+from barloom.sources import fetched, state, tables
+from barloom.streaming import tracked
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,6 +609,25 @@ def _(spark, sf_dir):
     return tracking.recheck(picks(spark, sf_dir), bars(spark, sf_dir), CFG).select("pick_id", "status", "days_held", "signal_notes")
 
 
+_CUT = "2001-09-15"
+_FIRST_PICKS = re.sub(r"\b(pb|pe0|pe)\b", r"\1_first", _PICKS[_PICKS.index("pb AS") :]).replace("b.date > logged", f"b.date > logged AND b.date < DATE '{_CUT}'")
+
+
+@query(
+    "k02_streamed_picks",
+    f"""WITH {_PICKS}, {_FIRST_PICKS}, both_pe AS (SELECT * FROM pe_first WHERE status <> 'OPEN' UNION ALL SELECT * FROM pe ANTI JOIN (SELECT pick_id FROM pe_first WHERE status <> 'OPEN') USING (pick_id)) SELECT {_EVALUATED_PICKS} FROM both_pe""",
+)
+def _(spark, sf_dir):
+    """Picks and the bars before a day, then the other bars, taken by a stream that starts anew from its checkpoint."""
+    home, b, p = scratch(spark, "streamed"), bars(spark, sf_dir), picks(spark, sf_dir)
+    state.commit(p, home, 1)
+    p.write.parquet(f"{home}/picks")
+    for part in (C("date") < _CUT, C("date") >= _CUT):
+        b.filter(part).write.mode("append").parquet(f"{home}/bars")
+        tracked.follow(spark, home, f"{home}/bars", CFG).awaitTermination()
+    return state.latest(spark, home, tracking.PICKS)[0].select("pick_id", "status", "exit_date", "exit_price", "realized_pct", "last_checked_date", "last_checked_price", "unrealized_pct", "days_held")
+
+
 @query("a13_win_rate", f"WITH {_PICKS} SELECT count_if(status = 'OPEN') AS n_open, count_if(status <> 'OPEN') AS n_closed, count_if(status = 'HIT_TARGET') AS n_target, count_if(status = 'HIT_STOPLOSS') AS n_stop, round(count_if(status = 'HIT_TARGET') * 100.0 / nullif(count_if(status LIKE 'HIT%'), 0), 1) AS win_rate_pct FROM pe")
 def _(spark, sf_dir):
     return tracking.win_rate(tracking.evaluate(picks(spark, sf_dir), bars(spark, sf_dir)))
