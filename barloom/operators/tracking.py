@@ -23,7 +23,13 @@ HISTORY = {
     "security_code": "string", "tradingsymbol": "string", "company_name": "string", "universe": "string", "first_seen_date": "date", "first_seen_price": "double", "first_seen_conviction_score": "double",
     "first_seen_conviction_tier": "string", "first_seen_supertrend_bullish": "boolean", "first_seen_price_above_50": "boolean", "last_seen_date": "date", "last_seen_price": "double", "times_seen": "long",
 }
+# Words and sentences that results must carry.
 NEW, STILL, EXIT = "New", "Repeat - still long", "Repeat - exit / trail SL"
+FLIPPED = "Supertrend has flipped bearish since entry - the trend that triggered this pick has reversed."
+FADED = "RSI has faded from %.0f to %.0f - momentum has cooled off materially."
+LOST = "Price has closed back below its 50DMA - the trend structure that supported this pick is broken."
+INTACT = "No material deterioration flagged - setup still looks structurally intact."
+FAILED = "Update failed: "
 
 
 def _cast(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -101,11 +107,11 @@ def health_notes() -> Column:
     lost = C("entry_price_above_50") & ~C("price_above_50")
     notes = F.concat_ws(
         " | ",
-        F.when(flipped, "Supertrend has flipped bearish since entry - the trend that triggered this pick has reversed."),
-        F.when(faded, F.format_string("RSI has faded from %.0f to %.0f - momentum has cooled off materially.", "entry_rsi", "rsi")),
-        F.when(lost, "Price has closed back below its 50DMA - the trend structure that supported this pick is broken."),
+        F.when(flipped, FLIPPED),
+        F.when(faded, F.format_string(FADED, "entry_rsi", "rsi")),
+        F.when(lost, LOST),
     )
-    return F.when(notes == "", "No material deterioration flagged - setup still looks structurally intact.").otherwise(notes)
+    return F.when(notes == "", INTACT).otherwise(notes)
 
 
 def update(picks: DataFrame, bars: DataFrame, last: DataFrame, horizon: int = 15, failed: DataFrame | None = None) -> DataFrame:
@@ -121,7 +127,7 @@ def update(picks: DataFrame, bars: DataFrame, last: DataFrame, horizon: int = 15
         j = j.join(failed.groupBy(C("security_code").cast("string").alias("security_code")).agg(F.min("error").alias("__error")), "security_code", "left")
         error = F.when(C("status") == OPEN, C("__error"))
     hit = C("__status").isNotNull() & error.isNull()
-    notes = F.when(error.isNotNull(), F.concat(F.lit("Update failed: "), error)).when(hit, health_notes()).otherwise(C("signal_notes"))
+    notes = F.when(error.isNotNull(), F.concat(F.lit(FAILED), error)).when(hit, health_notes()).otherwise(C("signal_notes"))
     return _cast(j.withColumns({"signal_notes": notes} | {c: F.when(hit, C(f"__{c}")).otherwise(C(c)) for c in now}), PICKS)
 
 

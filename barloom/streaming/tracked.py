@@ -221,7 +221,7 @@ def _values(found: DataFrame) -> DataFrame:
     d = found.withColumns({c: some(c) for c in ("exit_price", "entry", "last_close", "entry_rsi", "rsi")})
     gain = lambda p: F.when(C("entry") != 0, F.round((p - C("entry")) / C("entry") * 100, 2))
     ok, closed = C("status").isNotNull(), C("status") != tracking.OPEN
-    told = F.concat_ws(" | ", F.when(ok, tracking.health_notes()), F.when(C("error").isNotNull(), F.concat(F.lit("Update failed: "), C("error"))))
+    told = F.concat_ws(" | ", F.when(ok, tracking.health_notes()), F.when(C("error").isNotNull(), F.concat(F.lit(tracking.FAILED), C("error"))))
     notes = d.select(
         "*", C("bullish").alias("supertrend_bullish"), C("above").alias("price_above_50"), C("entry_bullish").alias("entry_supertrend_bullish"), C("entry_above").alias("entry_price_above_50")
     ).withColumn("signal_notes", told)
