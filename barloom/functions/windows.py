@@ -18,6 +18,18 @@ def rows(a: int, b: int, *key: str):
     return ordered(*key).rowsBetween(a, b)
 
 
+def over(a: int | None, b: int, *key: str) -> str:
+    """The window of rows a (None: the first) to b as SQL text."""
+    at = lambda n: "UNBOUNDED PRECEDING" if n is None else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}" if n else "CURRENT ROW"
+    by = ", ".join(f"`{k}`" for k in key or (KEY,))
+    return f"OVER (PARTITION BY {by} ORDER BY {TIME} ROWS BETWEEN {at(a)} AND {at(b)})"
+
+
+def before(x: str, n: int = 1, *key: str) -> str:
+    """The value n rows before as SQL text."""
+    return f"lag({x}, {n}) OVER (PARTITION BY {', '.join(f'`{k}`' for k in key or (KEY,))} ORDER BY {TIME})"
+
+
 def so_far(*key: str):
     return ordered(*key).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -79,27 +91,22 @@ def smoothed(df: DataFrame, specs: Smooth, *key: str) -> DataFrame:
 
 
 def _smoothed(df: DataFrame, specs: Smooth, size: int, *key: str) -> DataFrame:
-    w, before = so_far(*key), rows(Window.unboundedPreceding, -1, *key)
-    inside = Window.partitionBy(*(key or (KEY,)), "__block").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    c = lambda p, n: F.col(f"__{p}_{n}")
-    df = df.withColumn("__row", F.row_number().over(ordered(*key)) - 1).withColumns({f"__x_{n}": x for n, (x, _, _) in specs.items()})
-    df = df.withColumn("__block", F.floor(F.col("__row") / size))
-    last = {f"__l_{n}": F.max(F.when(c("x", n).isNotNull(), F.col("__row"))).over(before) for n in specs}
-    df = df.withColumns(last | {f"__n_{n}": F.count(c("x", n)).over(w) for n in specs})
-    step = {}
-    for n, (_, alpha, _) in specs.items():
-        first, some = c("l", n).isNull(), c("x", n).isNotNull()
-        old = F.pow(F.lit(1 - alpha), F.col("__row") - c("l", n))
-        step[f"__d_{n}"] = F.when(some & ~first, F.greatest(F.log(old) - F.log(old + alpha), F.lit(-SPAN))).otherwise(0.0)
-        step[f"__v_{n}"] = F.when(some, F.when(first, c("x", n)).otherwise(c("x", n) * alpha / (old + alpha)))
-    df = df.withColumns(step).withColumns({f"__p_{n}": F.sum(c("d", n)).over(inside) for n in specs})
-    sums = {f"__y_{n}": F.exp(c("p", n)) * F.coalesce(F.sum(c("v", n) * F.exp(-c("p", n))).over(inside), F.lit(0.0)) for n in specs}
-    df = df.withColumns(sums)
-    end = F.col("__row") % size == size - 1
-    ends = {f"__e_{n}": F.last(F.when(end, F.struct(c("y", n).alias("y"), F.exp(c("p", n)).alias("p"))), True).over(before) for n in specs}
-    df = df.withColumns(ends)
-    out = {n: F.when(c("n", n) >= need, c("y", n) + F.exp(c("p", n)) * F.coalesce(c("e", n)["y"], F.lit(0.0))) for n, (_, _, need) in specs.items()}
-    return df.withColumns(out).drop("__row", "__block", *[f"__{p}_{n}" for p in "xlndvpye" for n in specs])
+    """One round of smoothed(), as SQL text: a text is one call to the JVM, a column one for each operator in it."""
+    all_, earlier, inside = over(None, 0, *key), over(None, -1, *key), over(None, 0, *(key or (KEY,)), "__block")
+    c = lambda p, n: f"`__{p}_{n}`"
+    add = lambda df, p, text: df.selectExpr("*", *[f"{text(n)} AS {c(p, n)}" for n in specs])
+    df = df.withColumns({f"__x_{n}": x for n, (x, _, _) in specs.items()}).selectExpr("*", f"row_number() {all_} - 1 AS __row").selectExpr("*", f"floor(__row / {size}) AS __block")
+    df = add(df, "l", lambda n: f"max(CASE WHEN {c('x', n)} IS NOT NULL THEN __row END) {earlier}")
+    df = add(df, "n", lambda n: f"count({c('x', n)}) {all_}")
+    df = add(df, "o", lambda n: f"pow({1 - specs[n][1]!r}D, __row - {c('l', n)})")
+    df = add(df, "d", lambda n: f"CASE WHEN {c('x', n)} IS NOT NULL AND {c('l', n)} IS NOT NULL THEN greatest(ln({c('o', n)}) - ln({c('o', n)} + {specs[n][1]!r}D), {-SPAN!r}D) ELSE 0.0D END")
+    df = add(df, "v", lambda n: f"CASE WHEN {c('l', n)} IS NULL THEN {c('x', n)} ELSE {c('x', n)} * {specs[n][1]!r}D / ({c('o', n)} + {specs[n][1]!r}D) END")
+    df = add(df, "p", lambda n: f"sum({c('d', n)}) {inside}")
+    df = add(df, "y", lambda n: f"exp({c('p', n)}) * coalesce(sum({c('v', n)} * exp(-{c('p', n)})) {inside}, 0.0D)")
+    df = add(df, "e", lambda n: f"last(CASE WHEN __row % {size} = {size - 1} THEN {c('y', n)} END, true) {earlier}")
+    out = {n: f"CASE WHEN {c('n', n)} >= {need} THEN {c('y', n)} + exp({c('p', n)}) * coalesce({c('e', n)}, 0.0D) END AS `{n}`" for n, (_, _, need) in specs.items()}
+    made = {"__row", "__block", *specs, *[f"__{p}_{n}" for p in "xlnodvpye" for n in specs]}
+    return df.selectExpr(*[f"`{k}`" for k in df.columns if k not in made], *out.values())
 
 
 def wilder(x: Column, n: int) -> tuple[Column, float, int]:

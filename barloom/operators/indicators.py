@@ -1,4 +1,5 @@
-"""The indicator pipeline: every column is a window expression over one sort by (security, date)."""
+"""The indicator pipeline: every column is a window expression over one sort by (security, date), most of them as SQL text,
+which the JVM takes in one call."""
 
 from __future__ import annotations
 
@@ -6,15 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Settings
-from barloom.functions.windows import back, change, crossed_above, ema, full, ordered, recent, rows, sma, smoothed, so_far, wilder
+from barloom.functions.windows import before, change, ema, full, over, recent, smoothed, so_far, wilder
 from barloom.sources.tables import BASE
 
 C = F.col
 
 
 def true_range(*key: str) -> Column:
-    last = back(C("close"), 1, *key)
-    return F.greatest(C("high") - C("low"), F.abs(C("high") - last), F.abs(C("low") - last))
+    last = before("close", 1, *key)
+    return F.expr(f"greatest(high - low, abs(high - {last}), abs(low - {last}))")
 
 
 def rsi_from(gain: Column, loss: Column) -> Column:
@@ -24,11 +25,10 @@ def rsi_from(gain: Column, loss: Column) -> Column:
 
 def _moves(*key: str) -> dict[str, Column]:
     """Gain and loss against the bar before, true range, and the moves up and down of highs and lows."""
-    d = C("close") - back(C("close"), 1, *key)
-    up, down = C("high") - back(C("high"), 1, *key), back(C("low"), 1, *key) - C("low")
-    side = lambda x: F.when(d.isNotNull(), F.greatest(x, F.lit(0.0)))
-    more = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(0.0)
-    return {"__gain": side(d), "__loss": side(-d), "__tr": true_range(*key), "__up": more(up, down), "__dn": more(down, up)}
+    d, up, down = (f"({x})" for x in (f"close - {before('close', 1, *key)}", f"high - {before('high', 1, *key)}", f"{before('low', 1, *key)} - low"))
+    side = lambda sign: F.expr(f"CASE WHEN {d} IS NOT NULL THEN greatest({sign}{d}, 0.0D) END")
+    more = lambda a, b: F.expr(f"CASE WHEN {a} > {b} AND {a} > 0 THEN {a} ELSE 0.0D END")
+    return {"__gain": side(""), "__loss": side("-"), "__tr": true_range(*key), "__up": more(up, down), "__dn": more(down, up)}
 
 
 def with_rsi(df: DataFrame, n: int, name: str = "rsi", *key: str) -> DataFrame:
@@ -74,34 +74,32 @@ def enrich(bars: DataFrame, cfg: Settings, bench: DataFrame | None = None, key:
     keep = [c for c in BASE if c not in key]
     df = bars.select(*key, *keep)
     df = with_averages(df, cfg, *key)
-    d = C("close") - back(C("close"), 1, *key)
-    df = df.withColumns(
-        {
-            "sma50": sma(C("close"), 50, *key),
-            "sma200": sma(C("close"), 200, *key),
-            "atr_pct": C("atr") / C("close") * 100,
-            "donchian_high": full(F.max, C("high"), -f["donchian_breakout"]["period"], -1, None, *key),
-            "__flow": F.coalesce(F.signum(d), F.lit(0.0)) * C("volume"),
-            "volume_surge": C("volume") / F.nullif(full(F.avg, C("volume"), -f["volume"]["lookback"], -1, None, *key), F.lit(0.0)),
-            "close_strength": F.avg((C("close") - C("low")) / F.nullif(C("high") - C("low"), F.lit(0.0))).over(rows(-2, 0, *key)),
-            "turnover_cr": F.avg(C("close") * C("volume")).over(rows(1 - f["liquidity"]["turnover_lookback"], 0, *key)) / 1e7,
-            "roc3": change(C("close"), 3, *key),
-            "roc5": change(C("close"), 5, *key),
-            "roc10": change(C("close"), 10, *key),
-        }
+    last = lambda x, n=1: before(x, n, *key)
+    gain = lambda x, n: f"({x} / {last(x, n)} - 1) * 100"
+    mean = lambda x, n, to=0: f"avg({x}) {over(to - n + 1, to, *key)}"
+    whole = lambda agg, x, n, to=0: f"CASE WHEN count({x}) {over(to - n + 1, to, *key)} >= {n} THEN {agg}({x}) {over(to - n + 1, to, *key)} END"
+    crossed = lambda level, n: f"coalesce(max(coalesce(close > {level} AND {last('close')} <= {last(level)}, false)) {over(1 - n, 0, *key)}, false)"
+    df = df.selectExpr(
+        "*",
+        f"{whole('avg', 'close', 50)} AS sma50",
+        f"{whole('avg', 'close', 200)} AS sma200",
+        "atr / close * 100 AS atr_pct",
+        f"{whole('max', 'high', f['donchian_breakout']['period'], -1)} AS donchian_high",
+        f"coalesce(signum(close - {last('close')}), 0.0D) * volume AS __flow",
+        f"volume / nullif({whole('avg', 'volume', f['volume']['lookback'], -1)}, 0.0D) AS volume_surge",
+        f"{mean('(close - low) / nullif(high - low, 0.0D)', 3)} AS close_strength",
+        f"{mean('close * volume', f['liquidity']['turnover_lookback'])} / 1e7D AS turnover_cr",
+        *[f"{gain('close', n)} AS roc{n}" for n in (3, 5, 10)],
     )
-    df = df.withColumns(
-        {
-            "obv": F.sum("__flow").over(so_far(*key)),
-            "donchian_breakout": F.coalesce(C("close") > C("donchian_high"), F.lit(False)),
-            "dma50_breakout_recent": crossed_above(C("close"), C("sma50"), f["dma50_breakout"]["lookback_days"], *key),
-            "dma200_breakout_recent": crossed_above(C("close"), C("sma200"), f["dma200_breakout"]["lookback_days"], *key),
-            "pct_above_sma50": (C("close") / C("sma50") - 1) * 100,
-            "pct_above_sma200": (C("close") / C("sma200") - 1) * 100,
-            "atr_pct_chg20": C("atr_pct") - back(C("atr_pct"), 20, *key),
-        }
+    df = df.selectExpr(
+        "*",
+        f"sum(__flow) {over(None, 0, *key)} AS obv",
+        "coalesce(close > donchian_high, false) AS donchian_breakout",
+        *[f"{crossed(f'sma{n}', f[f'dma{n}_breakout']['lookback_days'])} AS dma{n}_breakout_recent" for n in (50, 200)],
+        *[f"(close / sma{n} - 1) * 100 AS pct_above_sma{n}" for n in (50, 200)],
+        f"atr_pct - {last('atr_pct', 20)} AS atr_pct_chg20",
     ).drop("__flow")
-    df = df.withColumn("obv_slope20", C("obv") - back(C("obv"), 20, *key))
+    df = df.selectExpr("*", f"obv - {last('obv', 20)} AS obv_slope20")
     return with_benchmark(df, bench, *key)
 
 
