@@ -53,14 +53,15 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, parts: int = 1) -> DataFrame:
     """sources(source, source_size), one row each, with rank (from 1, by code point, null last) and target."""
     placed = running(sources.withColumn("one", F.lit(1)), [C("source").isNull(), C("source")], {"rank": "one"}, parts)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(C("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(C("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
     placed = placed.withColumns({"weight": weight, "full": C("source_size") * most})
     filled = running(placed, [C("full") / C("weight"), C("rank")], {"fulls": "full", "weighed": "weight"}, parts)
     total, shares = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
     left, open_ = F.lit(total) - (C("fulls") - C("full")), F.lit(shares) - (C("weighed") - C("weight"))
-    filled = cut(filled.withColumn("stops", C("full") * open_ <= left * C("weight")))
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  products of words and weights of all sources
+    filled = cut(filled.withColumn("stops", wide(C("full")) * wide(open_) <= wide(left) * wide(C("weight"))))
     gone, kept = filled.agg(F.coalesce(F.sum(F.when(C("stops"), C("full"))), F.lit(0)), F.coalesce(F.sum(F.when(~C("stops"), C("weight"))), F.lit(1))).first()
-    target = F.when(C("stops"), C("full").cast("double")).otherwise((F.lit(total - gone) * C("weight")) / F.lit(kept))
+    target = F.when(C("stops"), C("full").cast("double")).otherwise((wide(F.lit(total - gone)) * wide(C("weight"))).cast("double") / F.lit(kept))
     return filled.select("source", "source_size", "rank", target.alias("target"))
 
 

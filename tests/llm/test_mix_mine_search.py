@@ -86,6 +86,17 @@ def test_mix_meets_targets(spark):
     assert {(r.doc_id, r.taken) for r in mixed(spark, rows, seed="other")} != again
 
 
+@pytest.mark.parametrize("unit", [10**6, 10**8, 10**17])
+def test_targets_of_large_sources(spark, unit):
+    """Words times weights pass 32 bits, and words times the sum of weights 64."""
+    sizes = {"a": 5 * unit, "b": 3 * unit, "c": 4 * unit, "d": 1 * unit, None: 7 * unit}
+    sizes |= {f"e{k}": unit // 1000 for k in range(40)}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = level(sizes, (5, 2, 1))
+    assert {r.source for r in got} == set(sizes)
+    assert all(math.isclose(r.target, want[r.source], rel_tol=1e-12) for r in got)
+
+
 def test_mix_draws_by_inclusion_probability(spark):
     """Probabilities double with three powers of two of length; over seeds every document has its turn."""
     rows = [(k, " ".join(["w"] * (8 if k % 2 else 64)), "s" if k < 400 else "t") for k in range(800)]
