@@ -32,7 +32,9 @@ from barloom.llm._store import kept_in_worker, lean, text_batches
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
-WORDS = 200_000
+#: Words held in each of two generations by a Python worker, about 150 bytes each.
+WORDS = 400_000
+TOGETHER = 512
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -150,6 +152,7 @@ class Coder:
         self.by_word = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not (model.charsmap or model.squeeze)
         self.begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.broken: set[str] = set()  # words that decoding doesn't give back
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -159,7 +162,7 @@ class Coder:
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word behind a marker: many words in one text, cut where a piece begins with the marker,
         as a word holds none and its first piece always has it."""
-        texts = [words[i : i + 512] for i in range(0, len(words), 512)]
+        texts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for part, raw in zip(texts, self._encode([" ".join(t) for t in texts]), strict=True):
             first = np.flatnonzero(self.begins[np.frombuffer(raw, np.uint32)]).tolist()
             if len(first) != len(part):
@@ -168,18 +171,30 @@ class Coder:
             for a, b in zip(first, [*first[1:], len(raw) // 4], strict=True):
                 yield raw[4 * a : 4 * b]
 
+    def _broken(self, words: list[str], ids: list[bytes]) -> Iterator[str]:
+        """Words that decoding doesn't give back. Many are decoded in one text: where each one's ids begin with a marker, it
+        is the words joined by spaces only if each word comes back. Where it isn't, words are decoded one by one."""
+        lists = lambda some: [np.frombuffer(x, np.uint32).tolist() for x in some]
+        at = range(0, len(words), TOGETHER)
+        texts = self.decode(lists(b"".join(ids[i : i + TOGETHER]) for i in at))
+        for i, text in zip(at, texts, strict=True):
+            part, own = words[i : i + TOGETHER], ids[i : i + TOGETHER]
+            if text != " ".join(part) or not all(own) or not self.begins[np.frombuffer(b"".join(x[:4] for x in own), np.uint32)].all():
+                yield from (w for w, back in zip(part, self.decode(lists(own)), strict=True) if w != back)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native uint32 bytes."""
         parts = self._parts(texts)
         need = {w for p in parts if p for w in p}.difference(self.words)
-        if len(self.words) + len(need) > WORDS:
-            self.words.clear()
-            self.broken.clear()
+        if len(self.words) + len(need) > WORDS:  # words still in use come back from the older generation
+            self.old, self.words = self.words, {}
+            self.broken.intersection_update(self.old)
             need = {w for p in parts if p for w in p}
-        new = list(need)
+        new = list(need.difference(self.old))
+        self.words.update((w, self.old[w]) for w in need.intersection(self.old))
         ids = list(self._encode_words(new))
         self.words.update(zip(new, ids, strict=True))
-        self.broken.update(w for w, back in zip(new, self.decode([np.frombuffer(x, np.uint32).tolist() for x in ids]), strict=True) if w != back)
+        self.broken.update(self._broken(new, ids))
         whole = self._encode([t for t, p in zip(texts, parts, strict=True) if p is None])
         look = self.words.__getitem__
         return [next(whole) if p is None else b"".join(map(look, p)) for p in parts]

@@ -378,6 +378,21 @@ def test_sentence_pieces_agree_with_the_original(spark):
     assert all(r.parity for r in sentence_pieces.digest(frame).collect()) and sentence_pieces.digest(docs(spark, [])).count() == 0
 
 
+def test_sentence_pieces_keep_words_in_use(monkeypatch):
+    """A full cache doesn't send words that are still in use to the library again, and spoilt words stay known."""
+    monkeypatch.setattr(sentence_pieces, "WORDS", 8)
+    path = sentence_pieces._path(None)
+    coder, asked = sentence_pieces.Coder(path), []
+    encode, decode, original = coder._encode_words, coder.decode, sentence_pieces._original(path)
+    monkeypatch.setattr(coder, "_encode_words", lambda words: (asked.extend(words), encode(words))[1])
+    monkeypatch.setattr(coder, "decode", lambda ids: [t.replace("spoilt", "spoiled") for t in decode(ids)])
+    for texts in (["the cat and the dog", "x1 x2 spoilt"], ["the cat x3 x4 x5", "spoilt"], ["the x6 x7 x8 x9", "a  b spoilt"], ["", "the end"]):
+        coded = coder(texts)
+        assert [np.frombuffer(x, np.uint32).tolist() for x in coded] == original.encode(texts)
+        assert coder.round_trips(texts, coded) == ["spoilt" not in t for t in texts]
+    assert {asked.count(w) for w in asked} == {1} and {"the", "spoilt", "x9", "end"} <= set(asked)
+
+
 def test_unigram_models_are_rebuilt():
     pieces = (("<unk>", 0.0, 2), ("▁ab", -1.0, 1), ("▁a", -2.0, 1), ("b", -2.5, 1), ("c", -3.0, 1), ("▁", -4.0, 1))
     t = sentence_pieces.build(sentence_pieces.Model(pieces, sentence_pieces.UNIGRAM, False, 0, b"", True, True, True))
