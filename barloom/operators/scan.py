@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Settings
 from barloom.operators import screen, supertrend
-from barloom.operators.indicators import enrich, snapshot
+from barloom.operators.indicators import latest
 
 C = F.col
 
@@ -55,18 +55,23 @@ def enough(bars: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
 
 def signals(bars: DataFrame, cfg: Settings, bench: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(latest row of each security with all indicators, enriched bars); Supertrend is folded for the last bar only."""
+    last, enriched = latest(bars, cfg, bench)
+    return with_supertrend(last, bars, cfg), enriched
+
+
+def with_supertrend(last: DataFrame, bars: DataFrame, cfg: Settings) -> DataFrame:
+    """Rows of securities with the Supertrend of their last bar; the join is null-safe, so that it adds no filter to the bars."""
     s = cfg["filters"]["supertrend"]
-    enriched = enrich(bars, cfg, bench)
-    last = snapshot(enriched).join(supertrend.latest(bars, s["period"], s["multiplier"], s["flip_lookback_days"]), "security_code", "left")
-    return last, enriched
+    line = supertrend.latest(bars, s["period"], s["multiplier"], s["flip_lookback_days"]).withColumnRenamed("security_code", "__code")
+    return last.join(line, C("security_code").eqNullSafe(C("__code")), "left").drop("__code")
 
 
 def run(bars: DataFrame, dims: DataFrame, cfg: Settings, bench: DataFrame | None = None) -> Scan:
     ok, few = enough(bars, cfg["data"]["min_bars"])
-    last, enriched = signals(ok, cfg, bench)
-    rows = named(last, dims)
+    last, enriched = latest(ok, cfg, bench)
+    rows = named(with_supertrend(last, ok, cfg), dims)
     rows = rows.withColumns({"__why": screen.reasons(cfg)} | screen.risk(cfg))
-    rows = screen.scored(rows, screen.sector_strength(rows), cfg)
+    rows = screen.scored(rows, screen.sector_strength(named(last, dims)), cfg)
     rows = rows.withColumns(
         {"passes_all_filters": F.size("__why") == 0, "fail_reasons": F.array_join("__why", ", "), "conviction_score": F.round("total", 1)}
         | {f"score_{n}": F.round(f"s_{n}", 1) for n in (*screen.SCORES, "sector_strength")}

@@ -247,7 +247,7 @@ def _(spark, sf_dir):
 @query("a02_sector_strength", f"{_SCAN} SELECT sector, round(sector_score, 4) + 0.0 AS sector_score, round(sector_median, 4) + 0.0 AS sector_median FROM sec")
 def _(spark, sf_dir):
     b = bars(spark, sf_dir)
-    last = indicators.snapshot(indicators.enrich(scan.enough(b, CFG["data"]["min_bars"])[0], CFG, tables.benchmark(b)))
+    last, _ = indicators.latest(scan.enough(b, CFG["data"]["min_bars"])[0], CFG, tables.benchmark(b))
     s = screen.sector_strength(scan.named(last, tables.universe(spark, sf_dir)))
     return s.select("sector", *rounded(s, ["sector_score", "sector_median"]))
 

@@ -17,9 +17,12 @@ def schema(text: str) -> T.StructType:
 
 
 def bars_from_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of each supplier from its line items: one pre-aggregated shuffle by (security, date)."""
+    """Daily bars of each supplier from its line items. Trades are dealt by security once, before anything is taken from
+    them: bars and the windows over them need no further shuffle, and all that one query makes of bars reads the same one."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    columns = "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    t = t.select("l_suppkey", "l_shipdate", *columns).repartition("l_suppkey")
+    order = F.struct(*columns)
     p = F.col("l_extendedprice") / F.col("l_quantity")
     t = t.select(F.col("l_suppkey").alias("security_code"), F.col("l_shipdate").cast("date").alias("date"), p.alias("p"), order.alias("o"))
     up, down = 1 + F.col("o.l_tax"), 1 - F.col("o.l_discount")
@@ -42,9 +45,9 @@ def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark(bars: DataFrame) -> DataFrame:
-    """Each date's mean close, summed as decimals: the same in every order of the bars."""
+    """Each date's mean close, summed as decimals: the same in every order of the bars. It goes whole to what it is joined with."""
     mean = F.sum(F.col("close").cast("decimal(38,14)")).cast("double") / F.count("close")
-    return bars.groupBy("date").agg(F.when(F.count("close") > 0, mean).alias("bench_close"))
+    return F.broadcast(bars.groupBy("date").agg(F.when(F.count("close") > 0, mean).alias("bench_close")))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,3 +384,29 @@ def test_queries_answer_from_the_table_as_it_is(spark, sf, tmp_path):
     lines.limit(100).write.mode("overwrite").parquet(path)
     assert registry.queries()["s05_bars"](spark, str(tmp_path)).count() <= 100 < before
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def _final_plan(df) -> list[str]:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].split("\n")
+
+
+@pytest.mark.parametrize(("name", "sorts"), [("w23_pipeline", 3), ("t02_top_n", None)])
+def test_trades_are_shuffled_once_and_bars_sorted_narrow(spark, sf, name, sorts):
+    from barloom.plans import registry
+
+    plan = _final_plan(registry.queries()[name](spark, sf))
+    assert sum("FileScan" in x and "l_suppkey" in x for x in plan) == 1
+    assert sum("Exchange hashpartitioning(l_suppkey" in x and "Reused" not in x for x in plan) == 1
+    assert sorts is None or sum("- Sort [" in x or ") Sort [" in x for x in plan) == sorts
+
+
+def test_averages_in_given_blocks_and_in_their_own(spark):
+    """Blocks that suit one average and not the other."""
+    b = bars(spark, wave(400))
+    specs = {"e": windows.ema(C("close"), 12), "w": windows.wilder(C("close"), 200)}
+    want = windows.smoothed(b, specs).orderBy("date").select("e", "w").collect()
+    got = windows.smoothed(windows.dealt(b, 200, "security_code"), specs, blocks=200)
+    assert {"__row", "__block"} <= set(got.columns) and not any(c.startswith("__outer") for c in got.columns)
+    for x, y in zip(got.orderBy("date").select("e", "w").collect(), want, strict=True):
+        assert (x.e, x.w) == pytest.approx((y.e, y.w), rel=1e-12) if y.w is not None else x.w is None
