@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,35 @@ def linear(x: Column, x0: float, x1: float, y0: float = 0.0, y1: float = 100.0)
     return F.when(x.isNull(), 0.0).otherwise(y0 + t * (y1 - y0))
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """x rounded as SQL engines round doubles: x * 10^digits to the nearest whole number, halves away from zero. Spark's own
+    `round` looks at the decimal text: 63.949999999999996 is 63.9 there, but ten times it is 639.5, which gives 64.0."""
+    t = F.abs(x) * 10.0**digits
+    whole = F.rint(t) + F.when(t - F.rint(t) == 0.5, 1.0).otherwise(0.0)
+    return F.when(t < float("inf"), F.signum(x) * whole / 10.0**digits + 0.0).otherwise(x)
+
+
+def printed(text: str, *values: Column) -> Column:
+    """format_string whose `%.0f` and `%.1f` round what the double is, halves to even, as C's printf does; Java's rounds its
+    decimal text, halves up, so that 2.25 would be 2.3 and 82.5 would be 83."""
+    kinds = re.findall(r"%(?:\.([01])f|(%))", text)
+    places = [d for d, percent in kinds if not percent]
+    if len(places) != len(values):
+        raise ValueError(f"{text!r} needs {len(places)} values")
+    return F.format_string(text, *[F.rint(v) if d == "0" else _tenths(v) for d, v in zip(places, values, strict=True)])
+
+
+def _tenths(x: Column) -> Column:
+    """The tenth nearest to the double x, of two the even one. With k tenths below |x|, 20 |x| is compared with 2k + 1 in two
+    parts that are exact: 4 |x|, and the rest to 16 |x|."""
+    a = F.abs(x)
+    t = a * 10.0
+    k = F.rint(t) - F.when(F.rint(t) > t, 1.0).otherwise(0.0)
+    rest, part = 2 * k + 1 - a * 16.0, a * 4.0
+    up = F.when((part > rest) | ((part == rest) & (k % 2 == 1)), 1.0).otherwise(0.0)
+    return F.when(a < 2.0**48, F.when(x < 0, -1.0).otherwise(1.0) * ((k + up) / 10.0)).otherwise(x)
+
+
 def name_key(name: Column) -> Column:
     """Upper-case words of a company name, runs of initials joined, without suffix words; NULL gives ''."""
     clean = F.trim(F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z0-9& ]", " ")), " +", " "))

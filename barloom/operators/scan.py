@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Settings
+from barloom.functions.scalars import half_away, printed
 from barloom.operators import screen, supertrend
 from barloom.operators.indicators import latest
 
@@ -73,8 +74,8 @@ def run(bars: DataFrame, dims: DataFrame, cfg: Settings, bench: DataFrame | None
     rows = rows.withColumns({"__why": screen.reasons(cfg)} | screen.risk(cfg))
     rows = screen.scored(rows, screen.sector_strength(named(last, dims)), cfg)
     rows = rows.withColumns(
-        {"passes_all_filters": F.size("__why") == 0, "fail_reasons": F.array_join("__why", ", "), "conviction_score": F.round("total", 1)}
-        | {f"score_{n}": F.round(f"s_{n}", 1) for n in (*screen.SCORES, "sector_strength")}
+        {"passes_all_filters": F.size("__why") == 0, "fail_reasons": F.array_join("__why", ", "), "conviction_score": half_away(C("total"), 1)}
+        | {f"score_{n}": half_away(C(f"s_{n}"), 1) for n in (*screen.SCORES, "sector_strength")}
     )
     return Scan(rows.select(*COLUMNS), enriched, few)
 
@@ -128,10 +129,10 @@ def shown(result: DataFrame, want: list[str]) -> DataFrame:
 
 def cards(result: DataFrame, n: int = 3) -> DataFrame:
     """What a trade card says: entry, risk to reward, and a rationale with fallbacks."""
-    facts = F.concat_ws(" - ", F.format_string("RSI %.0f", F.col("rsi")), F.when(C("adx").isNotNull(), F.format_string("ADX %.0f", "adx")), F.when(C("volume_surge").isNotNull(), F.format_string("Volume %.1fx avg", "volume_surge")))
+    facts = F.concat_ws(" - ", printed("RSI %.0f", C("rsi")), F.when(C("adx").isNotNull(), printed("ADX %.0f", C("adx"))), F.when(C("volume_surge").isNotNull(), printed("Volume %.1fx avg", C("volume_surge"))))
     text = lambda c: F.nullif(F.trim(C(c)), F.lit(""))
     entry = F.coalesce(*[C(c) for c in ("entry_price", "close") if c in result.columns])
-    rr = F.when(F.coalesce((C("risk_pct") != 0) & (C("reward_pct") != 0), F.lit(False)), F.round(C("reward_pct") / C("risk_pct"), 1))
+    rr = F.when(F.coalesce((C("risk_pct") != 0) & (C("reward_pct") != 0), F.lit(False)), half_away(C("reward_pct") / C("risk_pct"), 1))
     rationale = F.coalesce(text("explanation"), text("notes"), F.nullif(facts, F.lit("")), F.lit("Passed all technical filters for the active preset."))
     return top(result, n).select("rank", "security_code", "tradingsymbol", "exchange", entry.alias("entry"), "stop_loss", "target", "risk_pct", "reward_pct", rr.alias("risk_reward"), rationale.alias("rationale"))
 

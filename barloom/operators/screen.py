@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Settings
-from barloom.functions.scalars import clip, linear
+from barloom.functions.scalars import clip, half_away, linear, printed
 
 C = F.col
 
@@ -49,11 +49,11 @@ def risk(cfg: Settings) -> dict[str, Column]:
     ok = F.coalesce((C("close") != 0) & (C("atr") != 0), F.lit(False))
     stop, target = C("close") - r["atr_stop_multiplier"] * C("atr"), C("close") + r["atr_target_multiplier"] * C("atr")
     return {
-        "stop_loss": F.round(F.when(ok, stop), 2),
-        "target": F.round(F.when(ok, target), 2),
-        "risk_pct": F.round(F.when(ok, (C("close") - stop) / C("close") * 100), 2),
-        "reward_pct": F.round(F.when(ok, (target - C("close")) / C("close") * 100), 2),
-        "supertrend_stop": F.round(F.when(_true("supertrend_bullish"), C("supertrend")), 2),
+        "stop_loss": half_away(F.when(ok, stop), 2),
+        "target": half_away(F.when(ok, target), 2),
+        "risk_pct": half_away(F.when(ok, (C("close") - stop) / C("close") * 100), 2),
+        "reward_pct": half_away(F.when(ok, (target - C("close")) / C("close") * 100), 2),
+        "supertrend_stop": half_away(F.when(_true("supertrend_bullish"), C("supertrend")), 2),
     }
 
 
@@ -103,7 +103,7 @@ def sector_strength(rows: DataFrame) -> DataFrame:
     med = rows.filter("relative_return_20d IS NOT NULL").groupBy("sector").agg(upper.alias("sector_median"))
     w = Window.orderBy("sector_median", "sector")
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    return med.select("sector", ((F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1)) * 100.0).alias("sector_score"), "sector_median")
+    return med.select("sector", ((F.row_number().over(w) - 1) * 100.0 / F.greatest(n - 1, F.lit(1))).alias("sector_score"), "sector_median")
 
 
 def scored(rows: DataFrame, sectors: DataFrame, cfg: Settings) -> DataFrame:
@@ -121,8 +121,8 @@ def scored(rows: DataFrame, sectors: DataFrame, cfg: Settings) -> DataFrame:
     t = c["tiers"]
     tier = F.when(C("total") >= t["very_high_conviction"], "Very High Conviction").when(C("total") >= t["high_conviction"], "High Conviction").when(C("total") >= t["moderate_conviction"], "Moderate Conviction").otherwise("Watchlist")
     notes = [
-        F.when(far, F.format_string("Extended %.1f%% above pivot - chasing risk, consider waiting for a pullback.", "pivot_distance")),
-        F.when(hot, F.format_string("RSI %.0f deeply overbought - elevated mean-reversion risk.", "rsi")),
+        F.when(far, printed("Extended %.1f%% above pivot - chasing risk, consider waiting for a pullback.", C("pivot_distance"))),
+        F.when(hot, printed("RSI %.0f deeply overbought - elevated mean-reversion risk.", C("rsi"))),
         F.when(_true("golden_cross") & _true("donchian_breakout"), F.lit("Golden-cross regime + fresh Donchian breakout - textbook momentum setup.")),
         F.when(~_true("rs_new_high"), F.lit("Not yet at a new relative-strength high vs benchmark - lagging the tape.")),
     ]
@@ -132,10 +132,10 @@ def scored(rows: DataFrame, sectors: DataFrame, cfg: Settings) -> DataFrame:
 def explanation(overbought: float) -> Column:
     """The same signals in words."""
     surge, rel = F.coalesce("volume_surge", F.lit(0.0)), C("relative_return_20d")
-    on = F.when(surge >= 1.3, F.format_string(" on %.1fx average volume", surge)).otherwise("")
+    on = F.when(surge >= 1.3, printed(" on %.1fx average volume", surge)).otherwise("")
     st, broke, dma = _true("supertrend_bullish"), _true("donchian_breakout"), _true("dma50_breakout_recent")
     above50, above200 = _true("price_above_50"), _true("price_above_200")
-    rsi_says = lambda text: F.format_string(f"RSI of %.0f {text}", "rsi")
+    rsi_says = lambda text: printed(f"RSI of %.0f {text}", C("rsi"))
     return F.concat_ws(
         " ",
         F.when(broke, F.concat(F.lit("Broke out to a fresh multi-week high"), on, F.lit(".")))
@@ -151,5 +151,5 @@ def explanation(overbought: float) -> Column:
         .when(C("rsi") >= 60, rsi_says("shows strong, healthy momentum."))
         .when(C("rsi") >= 50, rsi_says("shows momentum building but not yet strong."))
         .when(C("rsi").isNotNull(), rsi_says("shows little momentum right now.")),
-        F.when(rel > 5, F.format_string("Outperforming the broader market by %.1f%% over the past month.", rel)).when(rel < -5, F.format_string("Lagging the broader market by %.1f%% over the past month.", F.abs(rel))),
+        F.when(rel > 5, printed("Outperforming the broader market by %.1f%% over the past month.", rel)).when(rel < -5, printed("Lagging the broader market by %.1f%% over the past month.", F.abs(rel))),
     )

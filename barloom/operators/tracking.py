@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Settings
+from barloom.functions.scalars import printed
 from barloom.operators.asof import asof
 
 C = F.col
@@ -108,7 +109,7 @@ def health_notes() -> Column:
     notes = F.concat_ws(
         " | ",
         F.when(flipped, FLIPPED),
-        F.when(faded, F.format_string(FADED, "entry_rsi", "rsi")),
+        F.when(faded, printed(FADED, C("entry_rsi"), C("rsi"))),
         F.when(lost, LOST),
     )
     return F.when(notes == "", INTACT).otherwise(notes)

@@ -53,7 +53,7 @@ def scanned(spark: SparkSession, sf_dir: str) -> scan.Scan:
 def rounded(df: DataFrame, columns: list[str], digits: int | None = 4) -> list[Column]:
     """The columns, doubles rounded; values that both engines take over unchanged need no rounding (None)."""
     kinds = dict(df.dtypes)
-    return [F.round(c, digits).alias(c) if kinds[c] == "double" and digits is not None else C(c) for c in columns]
+    return [scalars.half_away(C(c), digits).alias(c) if kinds[c] == "double" and digits is not None else C(c) for c in columns]
 
 
 def rounded_sql(columns: list[str], digits: int | None = 4, plain: tuple[str, ...] = ()) -> str:
@@ -207,7 +207,7 @@ _FULL = ", ".join(
 
 def _scan_rounded(r: DataFrame) -> DataFrame:
     deep = ("rsi", "adx", "pct_above_sma50", "pct_above_sma200", "volume_surge", "turnover_cr", "relative_return_20d", "roc5", "roc10")
-    return r.withColumns({c: F.round(c, 4) for c in deep})
+    return r.withColumns({c: scalars.half_away(C(c), 4) for c in deep})
 
 
 @query("t01_scan", f"{_SCAN} SELECT security_code, {_FULL} FROM sc")

@@ -410,3 +410,22 @@ def test_averages_in_given_blocks_and_in_their_own(spark):
     assert {"__row", "__block"} <= set(got.columns) and not any(c.startswith("__outer") for c in got.columns)
     for x, y in zip(got.orderBy("date").select("e", "w").collect(), want, strict=True):
         assert (x.e, x.w) == pytest.approx((y.e, y.w), rel=1e-12) if y.w is not None else x.w is None
+
+
+def test_scores_and_texts_round_as_sql_does(spark):
+    """Halves: of the product with the power of ten in scores, of what the double is in texts."""
+    import random
+
+    import duckdb
+
+    rnd = random.Random(5)
+    xs = [63.949999999999996, 2.25, 2.35, 1.15, 82.5, 83.5, 0.05, -0.25, -0.05, 0.0, 0.25, 1e9 + 0.25, 1e15 + 0.5, 1e17, 0.49999999999999994, 1.005, 4503599627370497.5, 1e300]
+    xs += [rnd.randrange(-40000, 40000) / 20 for _ in range(400)] + [rnd.randrange(1, 400) / rnd.randrange(1, 400) * 20 for _ in range(400)] + [rnd.randrange(0, 3000) / 16 for _ in range(400)]
+    got = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select(
+        "x", scalars.half_away(C("x"), 1).alias("a"), scalars.half_away(C("x"), 2).alias("b"), F.when(F.abs("x") < 1e7, scalars.printed("%.1f%%", C("x"))).alias("c"), F.when(F.abs("x") < 1e7, scalars.printed("of %.0f", C("x"))).alias("d")
+    )
+    got = {r.x: tuple(r)[1:] for r in got.collect()}
+    sql = duckdb.execute("SELECT x, round(x, 1) + 0.0, round(x, 2) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()
+    want = {x: (a, b, "%.1f%%" % x if abs(x) < 1e7 else None, "of %.0f" % x if abs(x) < 1e7 else None) for x, a, b in sql}
+    assert {x: y for x, y in got.items() if x is not None} == want
+    assert got[None][:2] == (None, None)
