@@ -1,4 +1,4 @@
-"""As-of joins by one sort: rows of both sides in one order of time, the nearest match carried along."""
+"""Joins of series: as-of by one sort, rows of both sides in one order of time, the nearest match carried along; and look-ups."""
 
 from __future__ import annotations
 
@@ -9,6 +9,12 @@ C = F.col
 SIDE, AT, MATCH = "__side", "__at", "__match"
 
 
+def attach(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left with what right has for the same `on`; NULL has no match. Compared null-safely, as a plain left join would filter
+    NULLs out of all that right is made of: bars made of filtered trades can't be read from the shuffle that left reads."""
+    return left.join(right.withColumnRenamed(on, "__on"), C(on).isNotNull() & C(on).eqNullSafe(C("__on")), "left").drop("__on")
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], direction: str = "backward", tolerance: Column | None = None) -> DataFrame:
     """left with `columns` of the nearest right row of the same `by`: the last one at or before left_time (backward), or the
     first one at or after it (forward); NULL where there is none, where left_time is NULL, or where it is

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.config import Settings
 from barloom.functions import windows
 from barloom.functions.windows import DEALT, TIME, before, block_size, dealt, ema, over, recent, smoothed, wilder
+from barloom.operators.asof import attach
 from barloom.sources.tables import BASE
 
 C = F.col
@@ -60,10 +61,7 @@ def with_benchmark(df: DataFrame, bench: DataFrame | None, *key: str, order: str
     null = F.lit(None).cast("double")
     if bench is None:
         return df.withColumns({"rs_line": null, "rs_new_high": F.lit(False), "rs_roc20": null, "relative_return_20d": null})
-    kind = bench.schema["date"].dataType
-    # A key that can't be NULL: no filter goes down to the benchmark's own bars, which then are the same that df is made of.
-    few = bench.select(F.coalesce("date", F.lit("0001-01-01").cast(kind)).alias("__on"), "bench_close")
-    df = df.join(F.broadcast(few), C("date") == C("__on"), "left").drop("__on")
+    df = attach(df, F.broadcast(bench.select("date", "bench_close")), "date")
     df = df.withColumn("bench_close", F.expr(f"last(bench_close, true) {over(None, 0, *key, order=order)}"))
     df = df.withColumn("rs_line", C("close") / C("bench_close"))
     quarter = over(-62, 0, *key, order=order)

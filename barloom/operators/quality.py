@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Settings
-from barloom.functions.windows import back
+from barloom.functions.windows import back, rows
 from barloom.operators.indicators import tail
 
 C = F.col
@@ -63,7 +63,7 @@ def yoy_growth(statements: DataFrame, items: dict[str, str]) -> DataFrame:
     """symbol and, for each output name and statement item, the growth of the newest value over the one before it;
     NULL under two values or where the earlier one is not positive."""
     w = Window.partitionBy("symbol", "item").orderBy(F.desc("fiscal_year_end"))
-    two = statements.filter(C("value").isNotNull() & C("item").isin(*items.values())).withColumn("__n", F.row_number().over(w)).filter("__n <= 2")
+    two = statements.filter(C("value").isNotNull() & C("item").isin(*items.values())).repartition("symbol").withColumn("__n", F.row_number().over(w)).filter("__n <= 2")
     value = lambda item, n: F.max(F.when((C("item") == item) & (C("__n") == n), C("value")))
     g = two.groupBy("symbol").agg(*[value(item, n).alias(f"{name}_{n}") for name, item in items.items() for n in (1, 2)])
     return g.select("symbol", *[F.when(C(f"{name}_2") > 0, F.round((C(f"{name}_1") - C(f"{name}_2")) / C(f"{name}_2") * 100, 1)).alias(name) for name in items])
@@ -83,10 +83,12 @@ def volatility(bars: DataFrame, days: int = 252) -> DataFrame:
 def beta(bars: DataFrame, days: int = 252) -> DataFrame:
     """beta of close against bench_close over the last `days` rows: rows without either are dropped before returns."""
     t = tail(bars.select("security_code", "date", "close", "bench_close"), days)
-    n = t.groupBy("security_code").agg(F.count(F.lit(1)).alias("n"))
-    r = t.filter("close IS NOT NULL AND bench_close IS NOT NULL").withColumns({"x": C("close") / back(C("close")) - 1, "y": C("bench_close") / back(C("bench_close")) - 1})
-    b = r.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("security_code").agg(F.count(F.lit(1)).alias("m"), F.covar_samp("x", "y").alias("c"), F.var_samp("y").alias("v"))
-    return n.join(b, "security_code", "left").select("security_code", F.when((C("n") >= 20) & (C("m") >= 10), F.round(C("c") / F.nullif(C("v"), F.lit(0.0)), 2)).alias("beta"))
+    both = F.when(C("close").isNotNull() & C("bench_close").isNotNull(), F.struct("close", "bench_close"))
+    t = t.withColumn("now", both).withColumn("before", F.last("now", True).over(rows(Window.unboundedPreceding, -1)))
+    t = t.withColumns({c: C(f"now.{k}") / C(f"before.{k}") - 1 for c, k in (("x", "close"), ("y", "bench_close"))})
+    known = lambda c: F.when(C("x").isNotNull() & C("y").isNotNull(), C(c))
+    b = t.groupBy("security_code").agg(F.count(F.lit(1)).alias("n"), F.count(known("x")).alias("m"), F.covar_samp(known("x"), known("y")).alias("c"), F.var_samp(known("y")).alias("v"))
+    return b.select("security_code", F.when((C("n") >= 20) & (C("m") >= 10), F.round(C("c") / F.nullif(C("v"), F.lit(0.0)), 2)).alias("beta"))
 
 
 def peg(pe: Column, growth: Column) -> Column:

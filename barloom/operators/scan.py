@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.config import Settings
 from barloom.functions.scalars import half_away, printed
 from barloom.operators import screen, supertrend
+from barloom.operators.asof import attach
 from barloom.operators.indicators import latest
 
 C = F.col
@@ -61,10 +62,9 @@ def signals(bars: DataFrame, cfg: Settings, bench: DataFrame | None) -> tuple[Da
 
 
 def with_supertrend(last: DataFrame, bars: DataFrame, cfg: Settings) -> DataFrame:
-    """Rows of securities with the Supertrend of their last bar; the join is null-safe, so that it adds no filter to the bars."""
+    """Rows of securities with the Supertrend of their last bar."""
     s = cfg["filters"]["supertrend"]
-    line = supertrend.latest(bars, s["period"], s["multiplier"], s["flip_lookback_days"]).withColumnRenamed("security_code", "__code")
-    return last.join(line, C("security_code").eqNullSafe(C("__code")), "left").drop("__code")
+    return attach(last, supertrend.latest(bars, s["period"], s["multiplier"], s["flip_lookback_days"]), "security_code")
 
 
 def run(bars: DataFrame, dims: DataFrame, cfg: Settings, bench: DataFrame | None = None) -> Scan:

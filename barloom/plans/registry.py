@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import settings
 from barloom.functions import scalars, windows
-from barloom.operators import candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
+from barloom.operators import asof, candles, cycles, false_moves, indicators, mapping, next_day, quality, scan, screen, supertrend, timeframes, tracking
 from barloom.plans import sql as Q
 from barloom.session import scratch
 from barloom.sources import fetched, state, tables
@@ -474,7 +474,7 @@ def _(spark, sf_dir):
 @query("a08_beta", f"WITH {Q.TRADES}, {Q.BENCH}, {_T252} SELECT security_code, {_BETA} AS beta FROM t252 GROUP BY security_code")
 def _(spark, sf_dir):
     b = bars(spark, sf_dir)
-    return quality.beta(b.join(tables.benchmark(b), "date", "left"))
+    return quality.beta(asof.attach(b, tables.benchmark(b), "date"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,10 +517,13 @@ def _(spark, sf_dir):
     return f.select("security_code", *_FUND, "fundamentals_data_complete", "passes_fundamentals", "fundamentals_note")
 
 
-def growth_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def growth_metrics(spark: SparkSession, sf_dir: str, volatile: bool = True) -> DataFrame:
+    """Growth, volatility (if wanted: it takes a pass over the bars) and beta of each quoted security."""
     b = bars(spark, sf_dir)
     y = quality.yoy_growth(statements(spark, sf_dir), quality.GROWTH_ITEMS).withColumn("security_code", C("symbol").cast("long"))
-    m = quotes(spark, sf_dir).join(y, "security_code", "left").join(quality.volatility(b), "security_code", "left").join(quality.beta(b.join(tables.benchmark(b), "date", "left")), "security_code", "left")
+    m = quotes(spark, sf_dir).join(y, "security_code", "left")
+    m = asof.attach(m, quality.volatility(b), "security_code") if volatile else m
+    m = asof.attach(m, quality.beta(asof.attach(b, tables.benchmark(b), "date")), "security_code")
     return m.withColumns({"trailing_pe": C("trailingPE"), "peg": quality.peg(C("trailingPE"), C("pat_growth_pct"))})
 
 
@@ -544,7 +547,7 @@ def _(spark, sf_dir):
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan in which two of three rows count as passing, with growth columns."""
     r = scanned(spark, sf_dir).result.withColumn("passes_all_filters", C("security_code") % 3 != 0)
-    g = growth_metrics(spark, sf_dir).select("security_code", "sales_growth_pct", "pat_growth_pct", "peg", "trailing_pe", "beta", F.when(C("security_code") % 2 == 0, C("security_code") % 5 > 0).alias("passes_growth_screen"), F.lit(None).cast("boolean").alias("passes_fundamentals"))
+    g = growth_metrics(spark, sf_dir, False).select("security_code", "sales_growth_pct", "pat_growth_pct", "peg", "trailing_pe", "beta", F.when(C("security_code") % 2 == 0, C("security_code") % 5 > 0).alias("passes_growth_screen"), F.lit(None).cast("boolean").alias("passes_fundamentals"))
     return quality.portfolio(r.join(g, "security_code", "left"), 10)
 
 
@@ -568,7 +571,7 @@ def _(spark, sf_dir):
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One open pick per security, logged at its 30th bar from the end; every fifth can only expire or stay open."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir).filter("security_code IS NOT NULL")
     from pyspark.sql import Window
 
     at = b.withColumn("rn", F.row_number().over(Window.partitionBy("security_code").orderBy(F.desc("date")))).filter(C("rn") == F.when(C("security_code") % 10 == 0, 10).otherwise(30))
