@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Settings
 from barloom.functions.scalars import printed
-from barloom.operators.asof import asof
+from barloom.operators.asof import attach
 
 C = F.col
 OPEN = "OPEN"
@@ -57,31 +57,43 @@ def log_picks(picks: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
     return _cast(picks, PICKS).unionByName(_cast(made, PICKS))
 
 
+def _code_in(bars: DataFrame) -> Column:
+    """The security of picks, a text, as bars have it; what can't be one of theirs, NULL too, becomes a code that no security
+    has, so that joins need no filter on it that would reach down to the trades of picks and have them shuffled once more."""
+    kind = bars.schema["security_code"].dataType
+    code = C("security_code").try_cast(kind)
+    return F.coalesce(F.when(code.cast("string") == C("security_code"), code), F.lit(str(-(1 << 63))).try_cast(kind))
+
+
 def evaluate(picks: DataFrame, bars: DataFrame, horizon: int = 15, block: int = 64) -> DataFrame:
     """pick_id and the new values of open picks that have bars after their day.
 
     The first bar that touches stop or target closes the pick, the stop first on the same day; this is asked of
     all bars before the horizon, so a touch after it still counts. Else bar number `horizon` closes it as EXPIRED.
 
-    Picks find their first bar by an as-of join. Bars lie in blocks with their lowest low and highest high; a pick looks
-    into its first block, the first later one that touches a level, and the one of the horizon, not at all later bars.
+    A security's bars, one a date, lie in blocks with their first date, lowest low and highest high in one row; a pick looks
+    into the block of its day, its first one, the first later one that touches a level, and the one of the horizon. Bars stay
+    where they are dealt, only picks are shuffled.
     """
-    open_ = picks.filter(C("status") == OPEN).select("pick_id", "security_code", "date_logged", "entry_price", "stop_loss", "target")
-    b = bars.select(C("security_code").cast("string").alias("security_code"), C("date").cast("date").alias("date"), "high", "low", "close")
+    open_ = picks.filter(C("status") == OPEN).select("pick_id", _code_in(bars).alias("security_code"), "date_logged", "entry_price", "stop_loss", "target")
+    b = bars.select("security_code", C("date").cast("date").alias("date"), "high", "low", "close")
     b = b.withColumn("i", F.row_number().over(Window.partitionBy("security_code").orderBy("date")) - 1)
-    at = asof(open_, b, ["security_code"], "date_logged", "date", ["i"]).withColumn("start", F.coalesce(C("i") + 1, F.lit(0))).drop("i")
-    blocks = b.groupBy("security_code", F.floor(C("i") / block).cast("int").alias("k")).agg(F.sort_array(F.collect_list(F.struct("i", "date", "high", "low", "close"))).alias("bars"), F.min("low").alias("lo"), F.max("high").alias("hi"))
-    whole = blocks.groupBy("security_code").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("blocks"), F.sum(F.size("bars")).alias("bars_in_all"), F.max(F.element_at("bars", -1)).alias("last"))
-    j = at.join(whole, "security_code").filter(C("bars_in_all") > C("start"))
+    blocks = b.groupBy("security_code", F.floor(C("i") / block).cast("int").alias("k")).agg(
+        F.min("date").alias("first"), F.min("low").alias("lo"), F.max("high").alias("hi"), F.sort_array(F.collect_list(F.struct("i", "date", "high", "low", "close"))).alias("bars")
+    )
+    whole = blocks.groupBy("security_code").agg(F.sort_array(F.collect_list(F.struct("k", "first", "lo", "hi", "bars"))).alias("blocks"), F.sum(F.size("bars")).alias("bars_in_all"), F.max(F.element_at("bars", -1)).alias("last"))
+    last = lambda x: F.try_element_at(x, F.lit(-1))
     touched = lambda x, low, high: F.coalesce(x[low] <= C("stop_loss"), F.lit(False)) | F.coalesce(x[high] >= C("target"), F.lit(False))
+    j = open_.join(whole, "security_code")
+    j = j.withColumn("seen", last(F.filter("blocks", lambda x: x["first"] <= C("date_logged")))["bars"])
+    j = j.withColumn("start", F.coalesce(last(F.filter("seen", lambda x: x["date"] <= C("date_logged")))["i"] + 1, F.lit(0))).filter(C("bars_in_all") > C("start"))
     first, end = F.floor(C("start") / block).cast("int"), C("start") + horizon - 1
-    later = F.get(F.filter("blocks", lambda x: (x["k"] > first) & touched(x, "lo", "hi")), F.lit(0))["k"]
-    looked = F.array_distinct(F.array_compact(F.array(first, later, F.when(end < C("bars_in_all"), F.floor(end / block).cast("int")))))
-    j = j.withColumn("k", F.explode(looked)).drop("blocks").join(blocks.select("security_code", "k", "bars"), ["security_code", "k"])
-    hit = F.get(F.filter("bars", lambda x: (x["i"] >= C("start")) & touched(x, "low", "high")), F.lit(0))
+    hit_in = lambda bars: F.get(F.filter(bars, lambda x: (x["i"] >= C("start")) & touched(x, "low", "high")), F.lit(0))
+    later = F.get(F.filter("blocks", lambda x: (x["k"] > first) & touched(x, "lo", "hi")), F.lit(0))
+    j = j.withColumns({"hit": F.coalesce(hit_in(F.get("blocks", first)["bars"]), hit_in(later["bars"])), "expired": F.get(F.get("blocks", F.floor(end / block).cast("int"))["bars"], end % block)}).drop("blocks", "seen")
+    hit, expired = C("hit"), C("expired")
     stopped = F.coalesce(hit["low"] <= C("stop_loss"), F.lit(False))
     outcome = lambda x, status, price: F.struct((x["i"] - C("start") + 1).alias("rn"), status.alias("status"), price.alias("price"), x["date"].alias("date"))
-    expired = F.get(F.filter("bars", lambda x: x["i"] == end), F.lit(0))
     j = j.withColumns(
         {
             "event": F.when(hit.isNotNull(), outcome(hit, F.when(stopped, "HIT_STOPLOSS").otherwise("HIT_TARGET"), F.when(stopped, C("stop_loss")).otherwise(C("target")))),
@@ -122,7 +134,7 @@ def update(picks: DataFrame, bars: DataFrame, last: DataFrame, horizon: int = 15
     now = [c for c in e.columns if c != "pick_id"]
     e = e.select("pick_id", *[C(c).alias(f"__{c}") for c in now])
     s = last.select(C("security_code").cast("string").alias("security_code"), "rsi", "supertrend_bullish", "price_above_50")
-    j = picks.join(e, "pick_id", "left").join(s, "security_code", "left")
+    j = attach(picks.join(e, "pick_id", "left"), s, "security_code")
     error = F.lit(None).cast("string")
     if failed is not None:
         j = j.join(failed.groupBy(C("security_code").cast("string").alias("security_code")).agg(F.min("error").alias("__error")), "security_code", "left")
@@ -136,7 +148,7 @@ def recheck(picks: DataFrame, bars: DataFrame, cfg: Settings, failed: DataFrame
     """update() with signals made, without a benchmark, from the bars of securities with open picks alone."""
     from barloom.operators.scan import signals
 
-    mine = picks.filter(C("status") == OPEN).select(C("security_code").cast(bars.schema["security_code"].dataType).alias("security_code")).distinct()
+    mine = picks.filter(C("status") == OPEN).select(_code_in(bars).alias("security_code")).distinct()
     bars = bars.join(mine, "security_code", "left_semi")
     last, _ = signals(bars, cfg, None)
     return update(picks, bars, last, cfg["conviction"]["target_horizon_days"][1], failed)

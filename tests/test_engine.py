@@ -429,3 +429,23 @@ def test_scores_and_texts_round_as_sql_does(spark):
     want = {x: (a, b, "%.1f%%" % x if abs(x) < 1e7 else None, "of %.0f" % x if abs(x) < 1e7 else None) for x, a, b in sql}
     assert {x: y for x, y in got.items() if x is not None} == want
     assert got[None][:2] == (None, None)
+
+
+@pytest.mark.parametrize(("name", "whole", "scans"), [("k02_update_picks", 1, 2), ("a10_portfolio_summary", 2, 2)])
+def test_queries_over_several_views_of_bars_share_the_shuffle(spark, sf, name, whole, scans):
+    """Trades are shuffled once; picks also read codes and days alone, and the portfolio shuffles those of passing securities."""
+    from barloom.plans import registry
+
+    plan = _final_plan(registry.queries()[name](spark, sf))
+    reads = [x for x in plan if "FileScan" in x and "l_suppkey" in x]
+    assert sum("l_orderkey" in x for x in reads) == whole and len(reads) == scans
+    assert not any("Exchange hashpartitioning(security_code#" in x and ", k#" in x for x in plan)
+
+
+def test_picks_match_only_their_own_codes(spark):
+    """Codes of picks are texts, those of bars may be numbers: what is no number, or another text of it, matches nothing."""
+    b = bars(spark, [10] * 20 + [5] * 20).withColumn("security_code", C("security_code").cast("long"))
+    made = [(f"p{k}", c, dt.date(2024, 1, 1)) for k, c in enumerate(["1", "01", "x", None, str(-(1 << 63))])]
+    p = tables.with_columns(spark.createDataFrame(made, "pick_id string, security_code string, date_logged date").withColumns({"entry_price": F.lit(10.0), "stop_loss": F.lit(6.0), "target": F.lit(99.0), "status": F.lit("OPEN")}), tracking.PICKS)
+    assert [tuple(r) for r in tracking.evaluate(p, b).select("pick_id", "status", "days_held").collect()] == [("p0", "HIT_STOPLOSS", 20)]
+    assert {r.pick_id: r.status for r in tracking.recheck(p, b, settings()).collect()} == {"p0": "HIT_STOPLOSS", "p1": "OPEN", "p2": "OPEN", "p3": "OPEN", "p4": "OPEN"}
